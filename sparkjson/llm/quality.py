@@ -110,7 +110,8 @@ class Rule:
 
 #: Loose limits: they are meant for junk and leave ordinary prose alone.
 RULES = (
-    Rule("symbols", lambda t: F.regexp_count(t, F.lit(SYMBOLS)) * 4 > F.length(t)),
+    Rule("symbols", lambda t: F.regexp_count(t, F.lit(SYMBOLS)) * 4 > F.size(words(t))),
+    Rule("capitals", lambda t: F.regexp_count(t, F.lit(r"\p{Lu}")) * 10 > F.regexp_count(t, F.lit(r"\p{L}")) * 6),
     Rule("letters", lambda t: F.length(F.regexp_replace(t, r"[^\p{L}]+", "")) * 100 < F.length(t) * 40),
     Rule("lines", lambda t: dup_lines(t) * 2 > F.size(F.split(t, "\n", -1))),
     Rule("long_words", lambda t: t.rlike(r"[^\x20\x09-\x0D]{1000}")),
@@ -176,7 +177,8 @@ m AS (SELECT w.doc_id, t, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_
       FROM w LEFT JOIN p ON w.doc_id = p.doc_id),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR n_symbols * 4 > length(t)
+  NOT (base_failed OR n_symbols * 4 > n_words
+       OR length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) * 10 > length(regexp_replace(t, '[^\p{L}]+', '', 'g')) * 6
        OR length(regexp_replace(t, '[^\p{L}]+', '', 'g')) * 100 < length(t) * 40
        OR n_dup_lines * 2 > len(string_split(t, chr(10)))
        OR regexp_matches(t, '[^\x20\x09-\x0D]{1000}')) AS kept

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from .chat import OP2_SQL, op2_chat_format
 from .dedup import OP7_SQL, op7_exact_dedup
 from .quality import OP10_SQL, op10_quality_rules
 
 
 def queries() -> dict:
     return {
+        "op2_chat_format": op2_chat_format,
         "op7_exact_dedup": op7_exact_dedup,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op2_chat_format": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op10_quality_rules": OP10_SQL}
