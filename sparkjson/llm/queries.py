@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .chat import OP2_SQL, op2_chat_format
 from .dedup import OP7_SQL, op7_exact_dedup
+from .packing import op4_best_fit_packing
 from .quality import OP10_SQL, op10_quality_rules
+from .token_files import op3_token_files
 
 
 def queries() -> dict:
     return {
         "op2_chat_format": op2_chat_format,
+        "op3_token_files": op3_token_files,
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op7_exact_dedup": op7_exact_dedup,
         "op10_quality_rules": op10_quality_rules,
     }
