@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .chat import OP2_SQL, op2_chat_format
 from .dedup import OP7_SQL, op7_exact_dedup
+from .langid import op5_language_id
 from .packing import op4_best_fit_packing
+from .pii import op6_pii_pseudonyms
 from .quality import OP10_SQL, op10_quality_rules
 from .token_files import op3_token_files
 
@@ -14,6 +16,8 @@ def queries() -> dict:
         "op2_chat_format": op2_chat_format,
         "op3_token_files": op3_token_files,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_language_id": op5_language_id,
+        "op6_pii_pseudonyms": op6_pii_pseudonyms,
         "op7_exact_dedup": op7_exact_dedup,
         "op10_quality_rules": op10_quality_rules,
     }
