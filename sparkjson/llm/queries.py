@@ -8,6 +8,7 @@ from .langid import op5_language_id
 from .packing import op4_best_fit_packing
 from .pii import op6_pii_pseudonyms
 from .quality import OP10_SQL, op10_quality_rules
+from .substring import OP9_SQL, op9_substring_dedup
 from .token_files import op3_token_files
 
 
@@ -19,9 +20,10 @@ def queries() -> dict:
         "op5_language_id": op5_language_id,
         "op6_pii_pseudonyms": op6_pii_pseudonyms,
         "op7_exact_dedup": op7_exact_dedup,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op2_chat_format": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
