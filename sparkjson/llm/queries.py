@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP2_SQL, op2_chat_format
 from .dedup import OP7_SQL, op7_exact_dedup
 from .langid import op5_language_id
+from .ngram_join import op1_ngram_jaccard
 from .packing import op4_best_fit_packing
 from .pii import op6_pii_pseudonyms
 from .quality import OP10_SQL, op10_quality_rules
@@ -14,6 +15,7 @@ from .token_files import op3_token_files
 
 def queries() -> dict:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_chat_format": op2_chat_format,
         "op3_token_files": op3_token_files,
         "op4_best_fit_packing": op4_best_fit_packing,
