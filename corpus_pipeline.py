@@ -1,0 +1,69 @@
+"""From raw documents to packed sequences: language, exact copies, near copies, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; ``run`` writes what a stage returns
+as Parquet to the shared folder and hands what it reads back to the next.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkjson.llm.common import materialize
+from sparkjson.llm.dedup import exact_dedup
+from sparkjson.llm.langid import add_language, fit
+from sparkjson.llm.ngram_join import ngram_components
+from sparkjson.llm.packing import pack_documents
+from sparkjson.llm.pii import pseudonymize
+
+#: Near copies: shingles of five words, Jaccard of 0.8 or more.
+NGRAM, SIMILAR = 5, (80, 100)
+PSEUDONYM_KEY = "demo-key"
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids`` (null counts as a value)."""
+    kept = ids.select(F.col("doc_id").alias("__id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language can be found go; a missing label is filled in."""
+    known = add_language(docs, fit(docs)).where("lang_pred <> 'und'")
+    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest doc_id stays."""
+    return _only(docs, exact_dedup(docs).where("kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the one with the smallest doc_id stays."""
+    groups = ngram_components(docs, ngram=NGRAM, num=SIMILAR[0], den=SIMILAR[1])
+    return _only(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become pseudonyms; n_chars follows the new text."""
+    changed = pseudonymize(docs, PSEUDONYM_KEY).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return changed.select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their sequence and their offset in it."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language_id", language), ("exact_dedup", exact), ("ngram_jaccard", near), ("pii_pseudonyms", privacy), ("best_fit_packing", packing)]
+
+#: Suffix automata, pseudonyms and packing are beyond SQL; tests hold the result against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

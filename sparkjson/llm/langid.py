@@ -171,19 +171,21 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return Model(samples)
 
 
-def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, lang_pred and score; only key and text are read."""
+def add_language(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` (all by default), then lang_pred and score, which replace columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [c for c in (docs.columns if carry is None else carry) if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = shared.value.predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["key", "lang_pred", "score"])
+            found, scores = shared.value.predict(batch.column(0).to_pylist())
+            kept = [batch.column(k + 1) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), text).mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    kinds = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
+    return docs.select(F.col(text).alias("__text"), *names).mapInArrow(run, kinds)
 
 
 def op5_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
-    return identify(docs, fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return add_language(docs, fit(docs), carry=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

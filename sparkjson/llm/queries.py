@@ -14,6 +14,7 @@ from .token_files import op3_token_files
 
 
 def queries() -> dict:
+    import corpus_pipeline
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_chat_format": op2_chat_format,
@@ -24,6 +25,7 @@ def queries() -> dict:
         "op7_exact_dedup": op7_exact_dedup,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_quality_rules": op10_quality_rules,
+        "pipeline": corpus_pipeline.run,
     }
 
 
