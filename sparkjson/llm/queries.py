@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op8_byte_bpe
 from .chat import OP2_SQL, op2_chat_format
 from .dedup import OP7_SQL, op7_exact_dedup
 from .langid import op5_language_id
@@ -15,6 +16,7 @@ from .token_files import op3_token_files
 
 def queries() -> dict:
     import corpus_pipeline
+
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_chat_format": op2_chat_format,
@@ -23,6 +25,7 @@ def queries() -> dict:
         "op5_language_id": op5_language_id,
         "op6_pii_pseudonyms": op6_pii_pseudonyms,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_byte_bpe": op8_byte_bpe,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_quality_rules": op10_quality_rules,
         "pipeline": corpus_pipeline.run,
