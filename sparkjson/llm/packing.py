@@ -39,9 +39,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, key: st
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            encode.warm(texts)
-            for doc, body in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = np.append(encode(body), np.uint32(end_id)).astype("<u4")
+            for doc, body in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+                ids = np.append(body, np.uint32(end_id)).astype("<u4")
                 for n, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     for name, value in zip(out, (doc, n, start, len(part), zlib.crc32(part.tobytes())), strict=True):

@@ -96,9 +96,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         dtype = np.uint16 if max(encode.library.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            encode.warm(texts)
             keys += batch.column(0).to_pylist()
-            ids += [np.append(encode(x), np.uint32(end_id)).astype(dtype) for x in texts]
+            ids += [np.append(x, np.uint32(end_id)).astype(dtype) for x in encode(texts)]
         if not keys:
             return
         where, root = _filesystem(folder)

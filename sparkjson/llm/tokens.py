@@ -1,8 +1,8 @@
 """Token ids of whole texts by a vocabulary file of the tokenizers library.
 
-A worker keeps a bounded cache from whitespace-delimited chunks to ids.  Normaliser and pre-tokeniser of such word
-vocabularies never look across white space, so the ids of a text are those of its chunks in order; only chunks that
-the cache lacks reach the library.  Texts with characters outside printable ASCII, Latin-1 letters and plain
+A worker keeps bounded caches from whitespace-delimited chunks, and from their words and punctuation, to ids.  Normaliser and pre-tokeniser of such word
+vocabularies never look across white space, so the ids of a text are those of its chunks in order; only words that
+the caches lack reach the library.  Texts with characters outside printable ASCII, Latin-1 letters and plain
 white space go to the library whole, and so does every text of a tokenizer whose pre-tokeniser keeps white space.
 """
 
@@ -10,54 +10,58 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
 #: Text in which Python's and the library's ideas of white space and lower case agree.
 PLAIN = re.compile(r"[\t\n\r -~¡-¬®-ÿ]*")
-CACHE_CHUNKS = 1_500_000
+#: A word and the punctuation behind it, which word vocabularies treat apart.
+WORD_TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Bounds of the two caches and of what the library gets at once.
+CACHE_CHUNKS, CACHE_PIECES, AT_ONCE, TEXTS_AT_ONCE = 500_000, 500_000, 20_000, 256
 
 
 class Encoder:
+    """``encoder(texts)`` yields the ids (uint32) of each text."""
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        probe = ["ab", "ab cd, ef", "ab  cd,\nef "]
-        one, two, three = ([*x.ids] for x in self.library.encode_batch_fast(probe, add_special_tokens=False))
-        parts = [self.library.encode(x, add_special_tokens=False).ids for x in ("cd,", "ef")]
-        self.by_chunk = two == three == one + parts[0] + parts[1]
-        self.cache: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        """uint32 ids of one text."""
-        if not self.by_chunk or PLAIN.fullmatch(text) is None:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        chunks, cache = text.split(), self.cache
-        try:
-            return np.frombuffer(b"".join([cache[c] for c in chunks]), np.uint32)
-        except KeyError:
-            self.learn(chunks)
-            return np.frombuffer(b"".join([self.cache[c] for c in chunks]), np.uint32)
+        ids = lambda x: self.library.encode(x, add_special_tokens=False).ids
+        self.by_chunk = ids("ab cd, ef") == ids("ab  cd,\nef ") == ids("ab") + ids("cd,") + ids("ef")
+        self.by_piece = self.by_chunk and ids("CDÉ,.") == ids("cdé,.") == ids("cdé") + ids(",.")
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def learn(self, chunks: list[str]) -> None:
-        new = {*chunks}
-        if len(self.cache) + len(new) > CACHE_CHUNKS:
-            self.cache = {}
-        new = [c for c in new if c not in self.cache]
-        for chunk, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cache[chunk] = np.array(got.ids, np.uint32).tobytes()
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            split = [t.split() if self.by_chunk and PLAIN.fullmatch(t) else None for t in texts[at : at + TEXTS_AT_ONCE]]
+            self._learn_chunks({c for s in split if s for c in s} - self.chunks.keys())
+            for text, chunks in zip(texts[at : at + TEXTS_AT_ONCE], split, strict=True):
+                if chunks is None:
+                    yield np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+                else:
+                    yield np.frombuffer(b"".join([self.chunks[c] for c in chunks]), np.uint32)
+            if len(self.chunks) > CACHE_CHUNKS:
+                self.chunks = {}
 
-    def warm(self, texts: list[str]) -> None:
-        """Learn the chunks of many texts in one call to the library."""
-        new: set[str] = set()
-        for text in texts:
-            if self.by_chunk and PLAIN.fullmatch(text) is not None:
-                new.update(text.split())
-        self.learn([*new])
+    def _learn_chunks(self, new: set[str]) -> None:
+        parts = {c: (m[1].lower(), m[2]) if self.by_piece and (m := WORD_TAIL.fullmatch(c)) else (c, "") for c in new}
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces = {}
+        pieces = self.pieces
+        want = [*({x for p in parts.values() for x in p if x} - pieces.keys())]
+        for at in range(0, len(want), AT_ONCE):
+            some = want[at : at + AT_ONCE]
+            for piece, got in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                pieces[piece] = np.array(got.ids, np.uint32).tobytes()
+        for chunk, (word, tail) in parts.items():
+            self.chunks[chunk] = pieces[word] + (pieces[tail] if tail else b"")
 
 
 @lru_cache(maxsize=4)
