@@ -117,12 +117,13 @@ def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _sets(docs: DataFrame, ngram: int, schema: str, emit) -> DataFrame:
     """Run ``emit(keys, sets)`` -> arrays of ``schema`` for each stretch of ``docs`` (key, text)."""
-    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = {x.split()[0]: {"long": pa.int64(), "int": pa.int32()}[x.split()[1]] for x in schema.split(", ")}
+    names = [*kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, words in steps(batch.column(0), batch.column(1), lower=True):
-                yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in emit(keys, token_sets(words, ngram))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, kinds[n]) for n, x in zip(names, emit(keys, token_sets(words, ngram)), strict=True)], names)
 
     return docs.mapInArrow(run, schema)
 

@@ -50,8 +50,17 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, key: st
     return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(cut, PIECES)
 
 
-def plan(counts: dict[int, int], capacity: int, groups: int = 24, large: float = 1 / 8) -> list[tuple[int, tuple[int, ...]]]:
-    """Runs (sequences, lengths of each) that hold ``counts[length]`` pieces of each length."""
+#: Numbers of groups, and shares of the capacity from which a length is large, that ``plan`` tries.
+SETTINGS = ((12, 1 / 8), (24, 1 / 8), (24, 1 / 4), (24, 1 / 2))
+
+
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Runs (sequences, lengths of each) that hold ``counts[length]`` pieces of each length: the best of SETTINGS."""
+    return min((grouped_plan(counts, capacity, *s) for s in SETTINGS), key=lambda runs: sum(n for n, _ in runs))
+
+
+def grouped_plan(counts: dict[int, int], capacity: int, groups: int, large: float) -> list[tuple[int, tuple[int, ...]]]:
+    """One plan by linear grouping."""
     runs: list[tuple[int, tuple[int, ...]]] = []
     left = Counter({n: c for n, c in counts.items() if c})
     big = sorted((n for n in left if n >= capacity * large), reverse=True)

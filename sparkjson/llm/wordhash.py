@@ -83,9 +83,9 @@ class Words:
 
 
 def steps(keys: pa.Array, texts: pa.Array, lower: bool = False) -> Iterator[tuple[np.ndarray, Words]]:
-    """(keys, words) for stretches of a batch of about STEP_BYTES; a null text is empty."""
+    """(keys, words) for stretches of a batch of about STEP_BYTES; a null text is empty, null keys make an object array."""
     texts = texts.cast(pa.large_string()).fill_null("")
-    ids = keys.to_numpy(zero_copy_only=False)
+    ids = np.array(keys.to_pylist(), object) if keys.null_count else keys.to_numpy(zero_copy_only=False)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     k = 0
