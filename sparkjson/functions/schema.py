@@ -134,7 +134,7 @@ class _Compiler:
             if keyword in schema:
                 add(keyword, ~is_array | ok(schema[keyword]))
         if schema.get("uniqueItems"):
-            texts = F.transform(items, F.to_json)
+            texts = F.transform(items, lambda x: F.to_json(x))
             add("uniqueItems", ~is_array | (F.size(F.array_distinct(texts)) == n))
         fixed = schema.get("prefixItems", [])
         for k, sub in enumerate(fixed):
@@ -160,7 +160,7 @@ class _Compiler:
         patterns = list(schema.get("patternProperties", {}).items())
         members = F.try_variant_get(v, "$", "map<string,variant>")
         for pattern, sub in patterns:
-            add("patternProperties", ~is_object | F.forall(F.map_entries(members), lambda e, p=pattern, s=sub: ~e["key"].rlike(p) | self.passes(e["value"], s)))
+            add("patternProperties", ~is_object | self.members_match(members, pattern, sub))
         if "additionalProperties" in schema and schema["additionalProperties"] is not True:
             known = lambda k: _any([k.isin(*properties)] * bool(properties) + [k.rlike(p) for p, _ in patterns])
             sub = schema["additionalProperties"]
@@ -179,6 +179,9 @@ class _Compiler:
             add("if", F.when(test, self.passes(v, schema.get("then", True))).otherwise(self.passes(v, schema.get("else", True))))
         return out
 
+    def members_match(self, members: Column, pattern: str, schema: dict | bool) -> Column:
+        return F.forall(F.map_entries(members), lambda e: ~e["key"].rlike(pattern) | self.passes(e["value"], schema))
+
     def passes(self, v: Column, schema: dict | bool) -> Column:
         return _all([F.coalesce(ok, F.lit(False)) for ok, *_ in self.checks(v, schema, "")])
 

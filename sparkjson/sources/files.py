@@ -10,10 +10,10 @@ from ..functions.lexical import minify
 
 def read_documents(spark: SparkSession, path: str, glob: str | None = None, include: str | None = None, exclude: str | None = None, recursive: bool = True) -> DataFrame:
     """path, json: whole files, chosen by a glob on names and regular expressions on paths."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
+    reader = spark.read.option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    out = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
+    out = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
     out = out.where(F.col("path").rlike(include)) if include else out
     return out.where(~F.col("path").rlike(exclude)) if exclude else out
 

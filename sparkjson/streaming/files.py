@@ -14,10 +14,10 @@ from ..plans.pipeline import Engine
 
 def document_stream(spark: SparkSession, path: str, whole_files: bool = False, max_files: int | None = None) -> DataFrame:
     """path, json from the files that arrive below ``path``: a document per line, or per file."""
-    reader = spark.readStream.option("wholetext", whole_files)
+    reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
+    return reader.text(path, wholetext=whole_files).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
 
 
 def run_available(stream: DataFrame, engine: Engine, target: str, checkpoint: str, column: str = "json") -> StreamingQuery:
