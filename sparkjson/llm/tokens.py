@@ -19,8 +19,9 @@ import numpy as np
 PLAIN = re.compile(r"[\t\n\r -~¡-¬®-ÿ]*")
 #: A word and the punctuation behind it, which word vocabularies treat apart.
 WORD_TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+LOWER = re.compile("[a-zß-öø-ÿ]+")
 #: Bounds of the two caches and of what the library gets at once.
-CACHE_CHUNKS, CACHE_PIECES, AT_ONCE, TEXTS_AT_ONCE = 500_000, 500_000, 20_000, 256
+CACHE_CHUNKS, CACHE_PIECES, AT_ONCE, TEXTS_AT_ONCE = 600_000, 600_000, 20_000, 256
 
 
 class Encoder:
@@ -35,6 +36,11 @@ class Encoder:
         ids = lambda x: self.library.encode(x, add_special_tokens=False).ids
         self.by_chunk = ids("ab cd, ef") == ids("ab  cd,\nef ") == ids("ab") + ids("cd,") + ids("ef")
         self.by_piece = self.by_chunk and ids("CDÉ,.") == ids("cdé,.") == ids("cdé") + ids(",.")
+        # A word alone is one unit of the pre-tokeniser; its model takes it in the pre-tokeniser's own letters.
+        letters = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+        own = {c: self.library.pre_tokenizer.pre_tokenize_str(c) for c in letters} if self.by_piece else {}
+        self.letters = str.maketrans({c: x[0][0] for c, x in own.items() if len(x) == 1})
+        self.by_model = len(self.letters) == len(letters) and all(self._word(w) == ids(w) for w in ("a", "the", "cdé", "übergrößen", letters))
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -50,16 +56,23 @@ class Encoder:
             if len(self.chunks) > CACHE_CHUNKS:
                 self.chunks = {}
 
+    def _word(self, word: str) -> list[int]:
+        return [t.id for t in self.library.model.tokenize(word.translate(self.letters))]
+
     def _learn_chunks(self, new: set[str]) -> None:
         parts = {c: (m[1].lower(), m[2]) if self.by_piece and (m := WORD_TAIL.fullmatch(c)) else (c, "") for c in new}
         if len(self.pieces) > CACHE_PIECES:
             self.pieces = {}
         pieces = self.pieces
-        want = [*({x for p in parts.values() for x in p if x} - pieces.keys())]
+        want = {x for p in parts.values() for x in p if x} - pieces.keys()
+        words = {x for x in want if LOWER.fullmatch(x)} if self.by_model else set()
+        want = [*(want - words)]
         for at in range(0, len(want), AT_ONCE):
             some = want[at : at + AT_ONCE]
             for piece, got in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 pieces[piece] = np.array(got.ids, np.uint32).tobytes()
+        for piece in words:
+            pieces[piece] = np.array(self._word(piece), np.uint32).tobytes()
         for chunk, (word, tail) in parts.items():
             self.chunks[chunk] = pieces[word] + (pieces[tail] if tail else b"")
 
