@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import functions as J
 from .functions.rewrite import filter_fields, map_lexemes, pretty, sort_keys
 from .functions.schema import object_schema, schema_errors
+from .operators.diagnostics import container_root, duplicate_keys, findings, lenient_valid
 from .operators.metrics import run_summary, structure_totals
 from .operators.policy import apply_policy, error_report, resilient_minify
 from .operators.tokens import array_chunks, framed, token_rows
@@ -184,6 +185,17 @@ def comments(spark, sf_dir):
     return rows.select("n_nationkey", J.minify(J.comment_free(F.col("j"))).alias("out"))
 
 
+def duplicates(spark, sf_dir):
+    rows = _table(spark, sf_dir, "nation", "n_nationkey", "n_name").select("n_nationkey", F.expr("""concat('{"a": [{"k": 1, "k": ', n_nationkey, '}], "b": {"a": 0},\n "a": "', n_name, '", "k": 2}')""").alias("j"))
+    return duplicate_keys(rows, "n_nationkey", "j")
+
+
+def diagnosed(spark, sf_dir):
+    c = F.col("j")
+    out = mixed(spark, sf_dir).select("o_orderkey", findings(c).alias("f"), lenient_valid(c, allow_trailing_commas=True).alias("lenient"), container_root(c).alias("container"))
+    return out.select("o_orderkey", F.array_join(F.transform("f", lambda x: F.concat_ws(":", x["severity"].cast("string"), x["code"], x["detail"])), " ").alias("findings"), "lenient", "container")
+
+
 def summary(spark, sf_dir):
     rows = mixed(spark, sf_dir).withColumn("out", J.minify(F.col("j"), "eco"))
     return run_summary(rows, "j", "out").select("documents", "input_bytes", "output_bytes", "errors", "ratio_min", "ratio_max")
@@ -247,6 +259,9 @@ QUERIES = {
     "schema_formats": (schema_formats, """SELECT c_custkey, c_custkey % 4 = 0 AS ipv4, c_custkey % 4 = 2 AS "date", c_custkey % 4 = 3 AS email, false AS uri FROM customer"""),
     "semantic_equal": (equal_texts, "SELECT n_nationkey, n_nationkey % 2 = 0 AS equal FROM nation"),
     "strip_comments": (comments, """SELECT n_nationkey, '{"a":"//' || n_name || '","b":1}' AS out FROM nation"""),
+    "duplicate_keys": (duplicates, """SELECT n_nationkey, 0 AS object, '"a"' AS name, CAST(2 AS BIGINT) AS n, 2 AS line FROM nation UNION ALL SELECT n_nationkey, 4, '"k"', 2, 1 FROM nation"""),
+    "diagnostics": (diagnosed, f"""SELECT o_orderkey, CASE WHEN {_OK} THEN '' ELSE '2:' || {_ERROR} || ':' || CASE o_orderkey % 6 WHEN 2 THEN length(j) - 1 WHEN 3 THEN 6 WHEN 4 THEN length(j) - 3 WHEN 5 THEN length(j) END END AS findings,
+        o_orderkey % 6 < 3 AS lenient, true AS container FROM (SELECT *, {_MIXED_SQL} AS j FROM orders)"""),
     "run_summary": (summary, f"""SELECT count(*) AS documents, CAST(sum(strlen(j)) AS BIGINT) AS input_bytes, CAST(coalesce(sum(strlen(m)), 0) AS BIGINT) AS output_bytes, count(*) FILTER (m IS NULL) AS errors,
         min(strlen(m) / strlen(j)) AS ratio_min, max(strlen(m) / strlen(j)) AS ratio_max FROM (SELECT *, CASE WHEN {_OK} THEN {_WS_SQL.format("j")} END AS m FROM (SELECT *, {_MIXED_SQL} AS j FROM orders))"""),
     "stream_minify": (streamed, f"SELECT {_WS_SQL.format('props')} AS minified, count(*) AS n FROM events GROUP BY 1"),

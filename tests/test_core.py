@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import sparkjson.functions as J
 from sparkjson.functions.rewrite import filter_fields, map_lexemes, pretty, sort_keys, split_array
 from sparkjson.functions.schema import conforms, number_schema, object_schema, optimization_hints, schema_errors, string_schema
+from sparkjson.operators.diagnostics import container_root, duplicate_keys, findings, lenient_valid
 from sparkjson.operators.metrics import observed, prometheus_text
 from sparkjson.operators.policy import apply_policy, error_report, quarantine
 from sparkjson.operators.tokens import array_chunks, framed, token_rows
@@ -221,6 +222,18 @@ def test_token_tables(spark):
     assert values(spark, ["[" + ",".join("1" * 450) + "]"], F.size(split_array(F.col("j")))) == [3]
 
 
+def test_diagnostics(spark):
+    df = spark.createDataFrame([(1, '{"a":1,"b":[{"a":2,"a":3},{"a":4}],"a":{"b":5}}'), (2, '["a","a"]')], "id int, j string")
+    assert sorted(map(tuple, duplicate_keys(df, "id", "j").collect())) == [(1, 0, '"a"', 2, 1), (1, 8, '"a"', 2, 1)]
+    c = F.col("j")
+    texts = ["[1,]", '{"a":1,}', "[,]", "[1,,]", '["x,]",]', "// c\n[1]", '["' + "y" * 20 + '"]']
+    assert values(spark, texts, lenient_valid(c, allow_trailing_commas=True, max_string_length=10)) == [True, True, False, False, True, False, False]
+    assert values(spark, texts[5:6], lenient_valid(c, allow_comments=True)) == [True]
+    got = values(spark, ["[" + "9" * 101 + "]", "[" + "{}," * 1001 + "{}]", "[1", None], findings(c))
+    assert [None if g is None else [tuple(x) for x in g] for g in got] == [[(1, "Long number", "1")], [(1, "Many objects", "1002")], [(2, "UnterminatedArray", "2")], None]
+    assert values(spark, [" [1]", "5", ""], container_root(c)) == [True, False, False]
+
+
 def test_engine(spark):
     df = spark.createDataFrame([(1, '{ "important" : 1, "extra" : 2 }')], "id int, j string")
     run = lambda e: [r.j for r in e.run(df, "j").collect()]
