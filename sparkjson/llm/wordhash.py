@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Text bytes that are hashed in one step (or one whole text, if that is longer).
-STEP_BYTES = 2_000_000
+#: Text bytes that are hashed in one step (or one whole text, if that is longer), and rows that are copied at once.
+STEP_BYTES, STEP_ROWS = 500_000, 512
 _P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -84,15 +84,16 @@ class Words:
 
 def steps(keys: pa.Array, texts: pa.Array, lower: bool = False) -> Iterator[tuple[np.ndarray, Words]]:
     """(keys, words) for stretches of a batch of about STEP_BYTES; a null text is empty, null keys make an object array."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    ids = np.array(keys.to_pylist(), object) if keys.null_count else keys.to_numpy(zero_copy_only=False)
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    k = 0
-    while k < len(ids):
-        end = max(k + 1, int(np.searchsorted(offsets, offsets[k] + STEP_BYTES, "right")) - 1)
-        yield ids[k:end], Words(data[offsets[k] : offsets[end]], offsets[k : end + 1] - offsets[k], lower)
-        k = end
+    for at in range(0, len(texts), STEP_ROWS):
+        some, own = texts.slice(at, STEP_ROWS).cast(pa.large_string()).fill_null(""), keys.slice(at, STEP_ROWS)
+        ids = np.array(own.to_pylist(), object) if own.null_count else own.to_numpy(zero_copy_only=False)
+        offsets = np.frombuffer(some.buffers()[1], np.int64)[some.offset : some.offset + len(some) + 1]
+        data = np.frombuffer(some.buffers()[2] or b"", np.uint8)
+        k = 0
+        while k < len(ids):
+            end = max(k + 1, int(np.searchsorted(offsets, offsets[k] + STEP_BYTES, "right")) - 1)
+            yield ids[k:end], Words(data[offsets[k] : offsets[end]], offsets[k : end + 1] - offsets[k], lower)
+            k = end
 
 
 class Bitmap:
