@@ -4,7 +4,7 @@ Anchors of ``ANCHOR`` words are hashed only at places whose remainder modulo ``P
 ``COVER``.  For any two places there is a shift below PERIOD that brings both onto the cover, and ANCHOR + PERIOD - 1 =
 WINDOW, so two equal windows always share an aligned anchor.  Anchors that occur once rule out all windows around
 them; the windows around shared anchors are extended to their full length and hashed whole, and of equal windows the
-one that starts first stays.
+one that starts first stays.  A task compares its own windows first and sends each on once.
 
 Anchor counts cover all documents.  Shared anchors travel to the texts as a bitmap of bounded size, which may let a
 needless window pass but never loses one.  Earlier means smaller doc_id, or the same doc_id and an earlier start.
@@ -18,12 +18,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents
-from .wordhash import bitmap_of, steps
+from .common import documents, materialize
+from .wordhash import bitmap_of, mix, steps
 
 WINDOW, ANCHOR, PERIOD, COVER = 20, 8, 13, (0, 1, 3, 9)
 
@@ -49,12 +50,43 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
     return counts.where("n > 1").select("anchor")
 
 
+#: Windows that a task gathers before it compares them among themselves.
+AT_ONCE = 1_000_000
+
+
+def _first_and_later(w: np.ndarray, key: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Of equal windows the first as (w, key, start, 0); the later ones, known to be repeats, as runs of ``more`` windows."""
+    order = np.lexsort((start, key, w))
+    w, key, start = w[order], key[order], start[order]
+    later = np.zeros(len(w), bool)
+    later[1:] = w[1:] == w[:-1]
+    later[1:] &= (key[1:] != key[:-1]) | (start[1:] != start[:-1])  # rows that repeat a key are one place
+    k, s = key[later], start[later]
+    order = np.lexsort((s, k))
+    k, s = k[order], s[order]
+    head = np.ones(len(k), bool)
+    head[1:] = (k[1:] != k[:-1]) | (s[1:] > s[:-1] + 1)
+    at = np.flatnonzero(head)
+    last = np.append(at[1:], len(k))[: len(at)] - 1
+    runs = mix(k[at].astype(np.uint64) + s[at].astype(np.uint64))  # any value: it deals the runs out
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([w[~later], runs]).view(np.int64)), pa.array(np.concatenate([key[~later], k[at]])), pa.array(np.concatenate([start[~later], s[at]])),
+            pa.array(np.concatenate([np.zeros(int((~later).sum()), np.int32), (s[last] - s[at] + 1).astype(np.int32)])),
+        ],
+        ["w", "key", "start", "more"],
+    )
+
+
 def candidate_windows(docs: DataFrame, bitmap) -> DataFrame:
-    """(window hash, key, start) of all windows that hold a shared anchor on the cover."""
+    """(w, key, start, more) of all windows that hold a shared anchor on the cover, after a task's own comparison.
+
+    However often a window occurs, a task sends it on once, so no window's rows outnumber the tasks.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    kind = docs.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
             for keys, words in steps(batch.column(0), batch.column(1)):
                 at, hashes = _anchors(words)
@@ -66,38 +98,50 @@ def candidate_windows(docs: DataFrame, bitmap) -> DataFrame:
                 # An anchor at s..s+PERIOD-1 lies inside the window from s on, and so in the same text.
                 first = np.arange(len(doc))
                 ok = np.flatnonzero((seen[first + PERIOD] > seen[first]) & (place + WINDOW <= size))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(words.windows(WINDOW)[ok].view(np.int64)), pa.array(keys[doc[ok]]), pa.array(place[ok].astype(np.int32))], ["w", "key", "start"]
-                )
+                held.append((words.windows(WINDOW)[ok], keys[doc[ok]].astype(np.int64), place[ok].astype(np.int32)))
+                if sum(len(x[0]) for x in held) > AT_ONCE:
+                    yield _first_and_later(*map(np.concatenate, zip(*held, strict=True)))
+                    held = []
+        if held:
+            yield _first_and_later(*map(np.concatenate, zip(*held, strict=True)))
 
-    return docs.mapInArrow(run, f"w long, key {kind}, start int")
+    return docs.mapInArrow(run, "w long, key long, start int, more int")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(key, starts) with the starts of all windows that also start earlier; ``docs``: (key, text)."""
-    docs = docs.where(F.col(docs.columns[0]).isNotNull())
+    """(key, runs): array of struct(start, more) with all windows that also start earlier; ``docs``: (key long, text)."""
+    docs = docs.where("key IS NOT NULL")
     windows = candidate_windows(docs, bitmap_of(shared_anchors(docs), "anchors"))
-    first = windows.groupBy("w").agg(F.min(F.struct("key", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "first")
-    later = windows.join(first, "w").where(F.struct("key", "start") > F.col("first"))
-    return later.groupBy("key").agg(F.collect_set("start").alias("starts"))
+    first = F.min(F.when(F.col("more") == 0, F.struct("key", "start"))).over(Window.partitionBy("w"))
+    later = windows.withColumn("first", first).where((F.col("more") > 0) | (F.struct("key", "start") > F.col("first")))
+    run = F.struct("start", F.greatest("more", F.lit(1)).alias("more"))
+    return later.groupBy("key").agg(F.collect_set(run).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_words, n_removed and kept_text (kept words joined by one space) for every row of ``docs``."""
-    own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind = own.schema["key"].dataType.simpleString()
+    """key (long), n_words, n_removed and kept_text (kept words joined by one space) for every row of ``docs``.
+
+    Only texts that a bitmap of the keys with repeats lets pass are joined with their runs; the others go straight on.
+    """
+    own = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    repeats = materialize(repeated_windows(own), "repeats")
+    touched = own.sparkSession.sparkContext.broadcast(bitmap_of(repeats.select(F.xxhash64("key").alias("h")), "touched"))
+
+    @F.pandas_udf("boolean")
+    def has_repeats(hashes: pd.Series) -> pd.Series:
+        return pd.Series(touched.value.has(hashes.to_numpy().view(np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, gone, kept = [], [], []
-            for body, starts in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for body, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words, cut = body.encode().split(), 0  # bytes split at just these separators
                 sizes.append(len(words))
-                if starts.is_valid:
+                if runs:
                     edge = np.zeros(len(words) + 1, np.int32)
-                    at = starts.values.to_numpy()
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + WINDOW, -1)
+                    start, more = (np.array([r[x] for r in runs]) for x in ("start", "more"))
+                    np.add.at(edge, start, 1)
+                    np.add.at(edge, start + (WINDOW - 1 + more), -1)
                     stay = np.cumsum(edge)[:-1] == 0
                     cut = len(words) - int(stay.sum())
                     words = [words[i] for i in np.flatnonzero(stay)]
@@ -107,8 +151,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["key", "n_words", "n_removed", "kept_text"]
             )
 
-    joined = own.join(repeated_windows(own), "key", "left").select("key", "text", "starts")
-    return joined.mapInArrow(run, f"key {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("key", key)
+    kind = repeats.schema["runs"].dataType
+    marked = own.withColumn("touched", F.col("key").isNotNull() & has_repeats(F.xxhash64("key")))
+    joined = marked.where("touched").join(repeats, "key", "left").select("key", "text", "runs")
+    plain = marked.where("NOT touched").select("key", "text", F.lit(None).cast(kind).alias("runs"))
+    schema = "key long, n_words long, n_removed long, kept_text string"
+    return joined.mapInArrow(run, schema).unionByName(plain.mapInArrow(run, schema)).withColumnRenamed("key", key)
 
 
 def op9_substring_dedup(spark, sf_dir):

@@ -120,4 +120,4 @@ def bitmap_of(hashes: DataFrame, name: str, least_log2: int = 20, most_log2: int
     log2 = min(most_log2, max(least_log2, int(16 * n).bit_length()))
     at = F.shiftrightunsigned(column, 64 - log2) + 1  # buckets of Spark's bitmaps count from 1
     buckets = hashes.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    return Bitmap(log2, [(r["bucket"], bytes(r["bits"])) for r in buckets.toLocalIterator()])
+    return Bitmap(log2, [(r["bucket"], bytes(r["bits"])) for r in buckets.collect()])
