@@ -1,7 +1,7 @@
 """Byte-level BPE with Spark's higher-order functions.
 
-A word is an array of byte strings (one character of ISO-8859-1 for each byte); ``fold_word`` folds ranked merges over
-it, looking pairs up in a literal rank map.  The map is dealt into buckets by hash, since Spark scans a map's keys in
+A word is its bytes (one character of ISO-8859-1 for each) and the array of bounds between its pieces; ``fold_word``
+folds ranked merges over them, looking pairs up in a literal rank map.  The map is dealt into buckets by hash, since Spark scans a map's keys in
 order.  Distinct words are counted over the whole corpus, and the commonest ``DICTIONARY_WORDS`` of them are folded
 once; texts look their words up in that dictionary, a scalar subquery of bounded size, and fold only the others
 in place.  So no text is shuffled, and what travels to the tasks does not grow with the corpus.
@@ -82,33 +82,33 @@ def fold_word(ranks: Column, word: Column) -> Column:
     def rank(piece: Column) -> Column:
         return F.coalesce(F.get(ranks, _bucket(piece, RANK_BUCKETS))[piece], F.lit(NO_RANK))
 
-    def merge(s: Column, at: Column) -> Column:
-        """Merge the pieces at ``at`` and ``at + 1`` (from 1) and rank the two pairs that this changes."""
-        p, r = s["p"], s["r"]
-        n = F.size(p)
-
-        def joined(x: Column) -> Column:
-            left = F.when(at > 1, F.array(rank(F.concat(F.get(p, at - 2), x)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(at + 1 < n, F.array(rank(F.concat(x, F.get(p, at + 1))))).otherwise(F.array().cast("array<int>"))
-            return F.struct(
-                F.concat(F.slice(p, F.lit(1), at - 1), F.array(x), F.slice(p, at + 2, n)).alias("p"),
-                F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, n)).alias("r"),
-            )
-
-        return let(F.concat(F.get(p, at - 1), F.get(p, at)), joined)
-
-    def step(s: Column, _: Column) -> Column:
-        return F.when(F.coalesce(F.array_min(s["r"]), F.lit(NO_RANK)) == NO_RANK, s).otherwise(
-            let(F.array_position(s["r"], F.array_min(s["r"])).cast("int"), lambda at: merge(s, at))
-        )
-
-    def fold(p: Column) -> Column:
-        r = F.transform(F.slice(p, F.lit(2), F.size(p)), lambda x, i: rank(F.concat(F.get(p, i), x)))
-        start = F.struct(p.alias("p"), r.alias("r"))
-        done = F.aggregate(F.sequence(F.lit(2), F.size(p)), start, step, lambda s: s["p"])
-        return F.transform(F.when(F.size(p) > 1, done).otherwise(p), rank)
-
-    return let(as_bytes(word), lambda b: let(rank(b), lambda whole: F.when(whole != NO_RANK, F.array(whole)).otherwise(let(F.split(b, ""), fold))))
+    def fold(b: Column) -> Column:
+        n = F.length(b)
+        piece = lambda first, end: F.substr(b, first + 1, end - first)
+
+        def merge(s: Column, at: Column) -> Column:
+            """Drop the bound between the pieces ``at`` and ``at + 1`` (from 0), and rank the two pairs that this changes."""
+
+            def ranked(bounds: Column) -> Column:
+                left = F.filter(s["r"], lambda _, i: i != at)
+                fresh = lambda r, i: F.when((i == at - 1) | (i == at), rank(piece(F.get(bounds, i), F.get(bounds, i + 2)))).otherwise(r)
+                return F.struct(bounds.alias("b"), F.transform(left, fresh).alias("r"))
+
+            return let(F.filter(s["b"], lambda _, i: i != at + 1), ranked)
+
+        def step(s: Column, _: Column) -> Column:
+            least = F.coalesce(F.array_min(s["r"]), F.lit(NO_RANK))
+            return let(least, lambda m: F.when(m == NO_RANK, s).otherwise(let((F.array_position(s["r"], m) - 1).cast("int"), lambda at: merge(s, at))))
+
+        # Pieces are kept as the bounds between them, r holds the rank of each pair of neighbours.
+        pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(piece(i, i + 2)))
+        start = F.struct(F.sequence(F.lit(0), n).alias("b"), pairs.alias("r"))
+        done = F.aggregate(F.sequence(F.lit(2), n), start, step, lambda s: s["b"])
+        ids = lambda bounds: F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda i: rank(piece(F.get(bounds, i), F.get(bounds, i + 1))))
+        return let(done, ids)
+
+    # All single bytes are in the vocabulary, so what is folded has two bytes or more.
+    return let(as_bytes(word), lambda b: let(rank(b), lambda whole: F.when(whole != NO_RANK, F.array(whole)).otherwise(fold(b))))
 
 
 def split_words(text: Column, pattern: str) -> Column:

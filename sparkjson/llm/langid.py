@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-SLOTS, MAX_CHARS, MAX_LANGUAGES, LETTERS, BLOCK = 48, 30_000, 64, 62, 512
-#: Characters that one step of the prediction takes at most (and one text at least).
-STEP_CHARS = 4_000_000
+SLOTS, MAX_CHARS, MAX_LANGUAGES, LETTERS, BLOCK = 48, 20_000, 64, 62, 512
+#: Characters that one step of the prediction takes at most (and one text at least), and rows that are unpacked at once.
+STEP_CHARS, STEP_ROWS = 2_000_000, 512
 
 
 def _points(text: str) -> np.ndarray:
@@ -176,14 +176,18 @@ def add_language(docs: DataFrame, model: Model, text: str = "text", carry: list[
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in (docs.columns if carry is None else carry) if c not in ("lang_pred", "score")]
 
+    read = names if text in names else [*names, text]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, scores = shared.value.predict(batch.column(0).to_pylist())
-            kept = [batch.column(k + 1) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            for at in range(0, len(batch), STEP_ROWS):
+                some = batch.slice(at, STEP_ROWS)
+                found, scores = shared.value.predict(some.column(read.index(text)).to_pylist())
+                kept = [some.column(k) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
     kinds = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(F.col(text).alias("__text"), *names).mapInArrow(run, kinds)
+    return docs.select(*read).mapInArrow(run, kinds)
 
 
 def op5_language_id(spark, sf_dir):
