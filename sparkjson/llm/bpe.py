@@ -1,7 +1,7 @@
 """Byte-level BPE with Spark's higher-order functions.
 
-A word is its bytes (one character of ISO-8859-1 for each) and the array of bounds between its pieces; ``fold_word``
-folds ranked merges over them, looking pairs up in a literal rank map.  The map is dealt into buckets by hash, since Spark scans a map's keys in
+A word is its bytes (one character of ISO-8859-1 for each) and an array of its pieces' starts and pair ranks;
+``fold_word`` folds ranked merges over it, looking pairs up in a literal rank map.  The map is dealt into buckets by hash, since Spark scans a map's keys in
 order.  Distinct words are counted over the whole corpus, and the commonest ``DICTIONARY_WORDS`` of them are folded
 once; texts look their words up in that dictionary, a scalar subquery of bounded size, and fold only the others
 in place.  So no text is shuffled, and what travels to the tasks does not grow with the corpus.
@@ -84,27 +84,34 @@ def fold_word(ranks: Column, word: Column) -> Column:
 
     def fold(b: Column) -> Column:
         n = F.length(b)
-        piece = lambda first, end: F.substr(b, first + 1, end - first)
 
-        def merge(s: Column, at: Column) -> Column:
-            """Drop the bound between the pieces ``at`` and ``at + 1`` (from 0), and rank the two pairs that this changes."""
+        def low(code: Column) -> Column:
+            return code.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
 
-            def ranked(bounds: Column) -> Column:
-                left = F.filter(s["r"], lambda _, i: i != at)
-                fresh = lambda r, i: F.when((i == at - 1) | (i == at), rank(piece(F.get(bounds, i), F.get(bounds, i + 2)))).otherwise(r)
-                return F.struct(bounds.alias("b"), F.transform(left, fresh).alias("r"))
+        def pair(start: Column, end: Column) -> Column:
+            """The rank of the piece ``start`` to ``end`` in the high bits, ``start`` in the low ones."""
+            return F.shiftleft(rank(F.substr(b, start + 1, end - start)).cast("long"), 32) + start
 
-            return let(F.filter(s["b"], lambda _, i: i != at + 1), ranked)
+        def merge(s: Column, at: Column) -> Column:
+            """Merge the pieces ``at`` and ``at + 1`` (from 1), and rank the two pairs that this changes."""
+            start = lambda k: low(F.get(s, k - 1))
+            left = F.when(at > 1, F.array(pair(start(at - 1), start(at + 2)))).otherwise(F.array().cast("array<long>"))
+            right = F.when(at + 2 < F.size(s), pair(start(at), start(at + 3))).otherwise(last + start(at))
+            return F.flatten(F.array(F.slice(s, F.lit(1), F.greatest(at - 2, F.lit(0))), left, F.array(right), F.slice(s, at + 2, F.size(s))))
 
         def step(s: Column, _: Column) -> Column:
-            least = F.coalesce(F.array_min(s["r"]), F.lit(NO_RANK))
-            return let(least, lambda m: F.when(m == NO_RANK, s).otherwise(let((F.array_position(s["r"], m) - 1).cast("int"), lambda at: merge(s, at))))
-
-        # Pieces are kept as the bounds between them, r holds the rank of each pair of neighbours.
-        pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(piece(i, i + 2)))
-        start = F.struct(F.sequence(F.lit(0), n).alias("b"), pairs.alias("r"))
-        done = F.aggregate(F.sequence(F.lit(2), n), start, step, lambda s: s["b"])
-        ids = lambda bounds: F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda i: rank(piece(F.get(bounds, i), F.get(bounds, i + 1))))
+            # The leftmost pair of least rank; array_position would leave its loop by a costly exception.
+            least = F.array_min(F.transform(s, lambda x, i: x.bitwiseAND(F.lit(~0xFFFFFFFF)) + i))
+            return let(least, lambda m: F.when(m >= last, s).otherwise(let(low(m) + 1, lambda at: merge(s, at))))
+
+        # One number for each piece: where it starts, and the rank of what it makes with the next; the end closes the array.
+        last = F.lit(NO_RANK << 32)
+        start = F.concat(F.transform(F.sequence(F.lit(0), n - 2), lambda i: pair(i, i + 2)), F.array(last + n - 1, last + n))
+        done = F.aggregate(F.sequence(F.lit(2), n), start, step)
+
+        def ids(s: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda i: let(low(F.get(s, i)), lambda k: rank(F.substr(b, k + 1, low(F.get(s, i + 1)) - k))))
+
         return let(done, ids)
 
     # All single bytes are in the vocabulary, so what is folded has two bytes or more.
