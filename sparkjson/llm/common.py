@@ -35,8 +35,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def let(value: Column, body) -> Column:
-    """Bind ``value`` once, so that a lambda may use it many times without evaluating it again."""
-    return F.transform(F.array(value), body)[0]
+    """Bind ``value`` once, so that a lambda may use it many times without evaluating it again.
+
+    As the end of a fold over nothing: an element of an array would have its type worked out anew, through all of
+    ``body``, each time it is taken.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
 
 
 def ascii_lower(text: Column) -> Column:
