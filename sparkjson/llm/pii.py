@@ -12,12 +12,19 @@ equal values get equal pseudonyms in all documents and different values stay dif
 Two kinds are no numbers: an e-mail address becomes ``user`` and keyed hex digits at the reserved domain
 ``example.invalid``, and a hexadecimal secret of 32-64 digits becomes keyed hex digits of its length and case.
 
+Neighbouring numbers do not hide each other.  Mail, secrets, addresses, dates and social security numbers are found
+first, then cards, then telephone numbers, each in what the kinds before it left.  In a run of numbers with single
+spaces or hyphens between them, cards in a usual shape (one number, 4-4-4-4, 4-6-5 and the like) come before any other
+neighbours that pass as one card.  A run that has a card's shape as a whole but a wrong check digit stays.
+
 Whole texts are searched.  A text without a match comes back unchanged, null stays null, the empty text stays
 empty; equal rows get equal results.  Other columns are carried along.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +39,15 @@ IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\d-])|(?<![\d+])\+\d{8,15}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
-CARD = r"(?<![\d.,-])\d(?:[ -]?\d){12,18}(?![\d-])"
-ANY = "|".join((EMAIL, HEX, IPV4, DATE, SSN, CARD, PHONE))
+#: Numbers of 13 digits and more with single separators, and a hyphen behind them.  Possessive, so no run exhausts the stack.
+RUN = r"(?<![\d.,-])\d(?:[ -]?\d){12,}+-?"
+#: The usual shapes of cards.
+SHAPE = r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])(?:\d{6}\2\d{4,5}|\d{3}\2\d{3}\2\d{3})"
+#: Stand for what was found while later kinds are searched; those of the text itself count as found, so none is mixed up.
+MARKS = ("\ue000", "\ue001", "\ue002", "\ue003")
+FIRST = "|".join((EMAIL, HEX, IPV4, DATE, SSN, f"[{MARKS[0]}-{MARKS[-1]}]"))
+#: What is left of cards by then has a wrong check digit.
+LAST = rf"(?<![\d.,-])(?<!\d )(?:{SHAPE})(?![ -]?\d|-)|{PHONE}"
 _POWERS = [10**k for k in range(19)]
 
 
@@ -105,17 +119,59 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
 
 
 def card(key: str, value: Column) -> Column:
+    """The pseudonym of a card that passes the Luhn check."""
+
     def of(d: Column) -> Column:
-        n = F.length(d)
         fresh = let(
-            permute_digits(key, "card", F.substr(d, F.lit(1), n - 1)),
+            permute_digits(key, "card", F.substr(d, F.lit(1), F.length(d) - 1)),
             lambda p: F.concat(p, F.pmod(F.lit(10) - F.pmod(luhn_sum(p, 0), F.lit(10)), F.lit(10)).cast("string")),
         )
-        return F.when(F.pmod(luhn_sum(d, 1), F.lit(10)) == 0, let(fresh, lambda x: refill(value, x))).otherwise(value)
+        return let(fresh, lambda x: refill(value, x))
 
     return let(only_digits(value), of)
 
 
+def cards(run: Column, shaped: bool, mark: str) -> Column:
+    """struct(text, found): ``run`` with a mark for each card in it, leftmost and longest first, and these cards.
+
+    ``shaped``: cards of a usual shape between any separators, else neighbours between spaces.
+    """
+
+    def of(numbers: Column) -> Column:  # each with the separator behind it
+        def candidate(i: Column, k: Column) -> Column:
+            joined = F.array_join(F.slice(numbers, i, k), "")
+            return F.struct(i.alias("i"), k.alias("k"), joined.alias("joined"), F.rtrim(joined, F.lit(" -")).alias("card"), F.translate(joined, " -", "").alias("digits"))
+
+        def good(x: Column) -> Column:
+            if shaped:
+                fits = x["card"].rlike(f"^(?:{SHAPE})$")
+            else:
+                fits = ~F.endswith(x["joined"], F.lit("-")) & ((x["i"] == 1) | ~F.endswith(F.get(numbers, x["i"] - 2), F.lit("-")))
+            return F.length(x["digits"]).between(13, 19) & fits & (F.pmod(luhn_sum(x["digits"], 1), F.lit(10)) == 0)
+
+        def step(s: Column, i: Column) -> Column:
+            sizes = F.sequence(F.least(F.lit(19), F.size(numbers) - i + 1), F.lit(1), F.lit(-1))
+            tried = F.filter(F.transform(sizes, lambda k: candidate(i, k)), good)
+            take = lambda x: F.when(x.isNull(), s).otherwise(F.struct((i + x["k"]).alias("next"), F.concat(s["found"], F.array(x)).alias("found")))
+            return F.when(i < s["next"], s).otherwise(let(F.get(tried, F.lit(0)), take))
+
+        def built(found: Column) -> Column:
+            end = lambda n: F.when(n == 0, F.lit(1)).otherwise(F.get(found, n - 1)["i"] + F.get(found, n - 1)["k"])
+            part = lambda first, after: F.array_join(F.slice(numbers, first, after - first), "")
+            parts = F.transform(found, lambda x, n: F.concat(part(end(n), x["i"]), F.lit(mark), F.substr(x["joined"], F.length(x["card"]) + 1)))
+            rest = part(end(F.size(found)), F.size(numbers) + 1)
+            return F.struct(F.concat(F.array_join(parts, ""), rest).alias("text"), F.transform(found, lambda x: x["card"]).alias("found"))
+
+        start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<i:int,k:int,joined:string,card:string,digits:string>>").alias("found"))
+        return let(F.aggregate(F.sequence(F.lit(1), F.size(numbers)), start, step, lambda s: s["found"]), built)
+
+    cut = let(F.regexp_extract_all(run, F.lit(r"\d+[ -]?"), F.lit(0)), of)
+    if not shaped:
+        return cut
+    none = F.struct(run.alias("text"), F.array().cast("array<string>").alias("found"))
+    return F.when(run.rlike(rf"(?<!\d)(?:{SHAPE})(?!\d)"), cut).otherwise(none)
+
+
 def phone(key: str, value: Column) -> Column:
     head = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0)
 
@@ -170,7 +226,7 @@ def secret(key: str, value: Column) -> Column:
 
 
 def pseudonym(key: str, value: Column) -> Column:
-    """The pseudonym of one match; a match that fails its validation comes back as it is."""
+    """The pseudonym of a match of FIRST; one that fails its validation comes back as it is."""
     whole = lambda pattern: value.rlike(f"^(?:{pattern})$")
     return (
         F.when(F.contains(value, F.lit("@")), email(key, value))
@@ -178,29 +234,45 @@ def pseudonym(key: str, value: Column) -> Column:
         .when(whole(IPV4), ipv4(key, value))
         .when(whole(DATE), date(key, value))
         .when(whole(SSN), ssn(key, value))
-        .when(whole(CARD), card(key, value))
-        .otherwise(phone(key, value))
+        .otherwise(value)
     )
 
 
+def fill(text: Column, pattern: str, new: Column) -> Column:
+    """``text`` with the matches of ``pattern`` replaced, in order, by ``new``."""
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
 def pseudonymize(docs: DataFrame, secret_key: str, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` replaced and ``n_replaced`` added (replacing a column of that name)."""
     t = F.col(text)
-    none = F.array().cast("array<string>")
-
-    def swap(found: Column) -> Column:
-        fresh = F.transform(found, lambda m: pseudonym(secret_key, m))
-
-        def joined(new: Column) -> Column:
-            parts = F.zip_with(F.split(t, ANY, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-            changed = F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x)
-            return F.struct(F.array_join(parts, "").alias("text"), F.size(changed).cast("long").alias("n"))
-
-        return F.when(F.size(found) > 0, let(fresh, joined)).otherwise(F.struct(t.alias("text"), F.lit(0).cast("long").alias("n")))
-
-    found = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(none)
-    out = docs.withColumn("__swap", let(found, swap))
-    return out.withColumns({text: F.col("__swap")["text"], "n_replaced": F.col("__swap")["n"]}).drop("__swap")
+    all_of = lambda body, pattern: F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
+    pair = lambda body, found: F.struct(body.alias("text"), found.alias("found"))
+
+    def marked(body: Column, pattern: str, mark: str) -> Column:
+        return let(all_of(body, pattern), lambda found: pair(F.when(F.size(found) > 0, F.regexp_replace(body, pattern, mark)).otherwise(body), found))
+
+    def marked_cards(body: Column, shaped: bool, mark: str) -> Column:
+        runs = F.transform(all_of(body, RUN), lambda run: cards(run, shaped, mark))
+        joined = lambda x: pair(F.when(F.size(x) > 0, fill(body, RUN, F.transform(x, lambda y: y["text"]))).otherwise(body), F.flatten(F.transform(x, lambda y: y["found"])))
+        return let(runs, joined)
+
+    # A column for each step: in one expression, each level of lambdas would be worked out anew by those around it.
+    out = docs.withColumn("__a", F.when(t.rlike("[0-9@]"), marked(t, FIRST, MARKS[0])))
+    out = out.withColumn("__b", F.when(F.col("__a").isNotNull(), marked_cards(F.col("__a")["text"], True, MARKS[1])))
+    out = out.withColumn("__c", F.when(F.col("__b").isNotNull(), marked_cards(F.col("__b")["text"], False, MARKS[2])))
+    out = out.withColumn("__d", F.when(F.col("__c").isNotNull(), marked(F.col("__c")["text"], LAST, MARKS[3])))
+    number = lambda k, m: F.when(m.rlike(f"^(?:{SHAPE})$"), m).otherwise(phone(k, m))
+    kinds = {"__a": pseudonym, "__b": card, "__c": card, "__d": number}
+    found = {c: F.col(c)["found"] for c in kinds}
+    out = out.withColumn("__new", F.struct(*(F.transform(found[c], partial(make, secret_key)).alias(c) for c, make in kinds.items())))
+    body = F.col("__d")["text"]
+    for c, mark in reversed([*zip(kinds, MARKS, strict=True)]):
+        body = fill(body, mark, F.col("__new")[c])
+    changed = F.filter(F.zip_with(F.concat(*found.values()), F.concat(*(F.col("__new")[c] for c in kinds)), lambda x, y: x != y), lambda x: x)
+    searched = F.col("__a").isNotNull()
+    swapped = {text: F.when(searched, body).otherwise(t), "n_replaced": F.when(searched, F.size(changed)).otherwise(0).cast("long")}
+    return out.withColumns(swapped).drop(*kinds, "__new")
 
 
 def op6_pii_pseudonyms(spark, sf_dir):

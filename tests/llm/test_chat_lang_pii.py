@@ -119,3 +119,15 @@ def test_pseudonyms_link_and_hide(spark):
     assert re.fullmatch("[0-9a-f]{40}", c) and c != token and re.fullmatch("[0-9A-F]{40}", d) and e == f != "123-45-6789" and row.n_replaced == 6
     assert pseudonymize(empty(spark), KEY).collect() == []
     assert pseudonymize(frame(spark, True), KEY).count() == frame(spark, True).count()
+
+
+def test_pseudonyms_beside_other_numbers(spark):
+    alone = ["4111111111111111", "4111 1111 1111 1111", "3782-822463-10005", "41111111 11111111", "192.168.1.7", "555-123-4567", "123-45-6789", "1984-02-29"]
+    cases = ["{0} 12 items", "{0}-12", "12 {0}", "{0} 192.168.1.7", "12 {1}", "{1} 12", "7 {2} 3", "12 {3}", "order 100 {5}", "call 12345 {5}", "ref 2024 {6}", "{0} {4}", "{0} {1}", "{5} {0}", "{0} {5}", "{7} {0}", "{0} {7} {6}"]
+    cases = [c.replace("192.168.1.7", "{4}") for c in cases] + ["\ue000 {0} \ue001 {5} \ue003", "{0} " * 3 + "{5} \ue002"]
+    texts = alone + [c.format(*alone) for c in cases] + ["no 4111-1111-1111-1112 or 4111111111111112", "1 " * 20000]
+    got = [r.text for r in pseudonymize(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), KEY).orderBy("k").collect()]
+    fresh = got[: len(alone)]
+    assert all(a != b for a, b in zip(alone, fresh, strict=True))
+    assert got[len(alone) : len(alone) + len(cases)] == [c.format(*fresh) for c in cases]
+    assert got[-2] == texts[-2]
