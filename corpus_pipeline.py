@@ -7,10 +7,10 @@ as Parquet to the shared folder and hands what it reads back to the next.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkjson.llm.common import materialize
+from sparkjson.llm.common import ascii_lower, materialize
 from sparkjson.llm.dedup import exact_dedup
 from sparkjson.llm.langid import add_language, fit
 from sparkjson.llm.ngram_join import ngram_components
@@ -22,10 +22,10 @@ NGRAM, SIMILAR = 5, (80, 100)
 PSEUDONYM_KEY = "demo-key"
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids`` (null counts as a value)."""
-    kept = ids.select(F.col("doc_id").alias("__id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+def _only(docs: DataFrame, kept: DataFrame, digest: Column) -> DataFrame:
+    """The rows of ``docs`` whose doc_id (null counts as a value) and ``digest`` are in ``kept``."""
+    kept = kept.toDF("__id", "__digest")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_semi")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +36,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest doc_id stays."""
-    return _only(docs, exact_dedup(docs).where("kept"))
+    kept = exact_dedup(docs).where("kept").select("doc_id", "text_sha256")
+    return _only(docs, kept, F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the one with the smallest doc_id stays."""
+    """Of each group of near copies the one with the smallest doc_id stays; of its texts with that doc_id, the one with the smallest hash."""
     groups = ngram_components(docs, ngram=NGRAM, num=SIMILAR[0], den=SIMILAR[1])
-    return _only(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    first = groups.where("doc_id = component_id AND group_id IS NOT NULL").groupBy("group_id").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"))
+    alone = groups.where("group_id IS NULL").select("doc_id", "text_hash").distinct()
+    return _only(docs, first.select("doc_id", "text_hash").unionByName(alone), F.xxhash64("text"))
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

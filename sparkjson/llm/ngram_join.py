@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join by token-combination prefixes, with connected components of the links.
 
 A document is the set of its distinct ``NGRAM``-word shingles.  Documents with equal sets form a class, and classes are
-joined.  The tokens of a set are put in one global order: of the hash range below ``LOW`` first the rare ones (in fewer
+joined.  A class is known by its fingerprint XOR its smallest key, so texts that share a key stay apart and one text stands for each class.  The tokens of a set are put in one global order: of the hash range below ``LOW`` first the rare ones (in fewer
 than ``FREQUENT`` documents of all), then the frequent ones, then the rest of the hash range.  Of two sets with Jaccard
 at least t, the first n - ceil(t n) + K tokens of each share K or more.  Hence the index:
 
@@ -129,10 +129,18 @@ def _sets(docs: DataFrame, ngram: int, schema: str, emit) -> DataFrame:
 
 
 def set_sizes(docs: DataFrame, ngram: int) -> DataFrame:
-    def emit(keys, sets):
-        return keys, np.array([len(s) for s in sets], np.int64), np.array([fingerprint(s) for s in sets], np.int64)
+    """key, n, fp and text_hash of every row."""
 
-    return _sets(docs, ngram, "key long, n long, fp long", emit)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for keys, words in steps(batch.column(0), batch.column(1), lower=True):
+                sets = token_sets(words, ngram)
+                columns = [pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, batch.column(2).slice(at, len(keys))], ["key", "n", "fp", "text_hash"])
+                at += len(keys)
+
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "key long, n long, fp long, text_hash long")
 
 
 def frequent_tokens(docs: DataFrame, ngram: int) -> DataFrame:
@@ -283,14 +291,16 @@ def _pair_links(pairs: DataFrame, details: DataFrame, num: int, den: int) -> Dat
 
 
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", ngram: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """key, n_shingles, class_id (smallest key with the same set), component_id for every row of ``docs``.
+    """key, n_shingles, class_id (smallest key with the same set), component_id (smallest key) for every row of ``docs``.
 
-    Linked: den * intersection >= num * union.
+    Beside them text_hash (xxhash64 of the text) and group_id, which differs even where two components have the same
+    smallest key; it is null for rows that are linked with nothing by rule (no set or no key).  Linked: den * intersection >= num * union.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     sizes = materialize(set_sizes(own, ngram), "sizes")
-    classes = sizes.where("n > 0 AND key IS NOT NULL").groupBy("fp").agg(F.min("key").alias("id"), F.max("n").alias("n"))
+    classes = sizes.where("n > 0 AND key IS NOT NULL").groupBy("fp").agg(F.min("key").alias("class_id"), F.max("n").alias("n"))
+    classes = classes.withColumn("id", F.col("class_id").bitwiseXOR(F.col("fp")))
 
     share = spark.sparkContext.broadcast
     index = share(Index(num, den, bitmap_of(frequent_tokens(own, ngram), "frequent")))
@@ -309,22 +319,26 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     clusters = components(hot).select(F.col("label").alias("cluster"), "id")
 
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(clusters.select("id")).distinct()
-    chosen = share(bitmap_of(wanted.select(F.xxhash64("id").alias("h")), "wanted"))
+    chosen = share(bitmap_of(wanted.join(classes, "id").select(F.xxhash64("class_id").alias("h")), "wanted"))
     details = materialize(_details(own, ngram, chosen), "details")
     links = materialize(_pair_links(pairs, details, num, den).union(_cluster_links(clusters, details, num, den)), "links")
-    label = components(links).toDF("class_id", "component")
-    out = sizes.join(classes.select("fp", F.col("id").alias("class_id")), "fp", "left").join(label, "class_id", "left")
+    label = components(links)
+    least = label.join(classes.select("id", "class_id"), "id").groupBy("label").agg(F.min("class_id").alias("component"))
+    named = classes.select("fp", "id", "class_id").join(label.join(least, "label"), "id", "left")
+    out = sizes.join(named, "fp", "left")
     alone = (F.col("n") == 0) | F.col("key").isNull()
     return out.select(
         F.col("key").alias(key),
         F.col("n").alias("n_shingles"),
         F.when(alone, F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.col("key")).otherwise(F.coalesce("component", "class_id")).alias("component_id"),
+        "text_hash",
+        F.when(~alone, F.coalesce("label", "id")).alias("group_id"),
     )
 
 
 def _details(docs: DataFrame, ngram: int, chosen) -> DataFrame:
-    """(id, n, bits, tokens) of the documents that ``chosen`` lets pass."""
+    """(id, n, bits, tokens) of the documents that ``chosen`` lets pass; only those with their class's smallest key have its id."""
     kept = docs.where("key IS NOT NULL").withColumn("h", F.xxhash64("key"))
     names = ["id", "n", "bits", "tokens"]
 
@@ -335,7 +349,7 @@ def _details(docs: DataFrame, ngram: int, chosen) -> DataFrame:
             for keys, words in steps(batch.column(0), batch.column(1), lower=True):
                 sets = token_sets(words, ngram)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_bits(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    [pa.array(keys ^ np.array([fingerprint(s) for s in sets], np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_bits(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                     names,
                 )
 

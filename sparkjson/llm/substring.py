@@ -9,7 +9,8 @@ one that starts first stays.  A task compares its own windows first and sends ea
 Anchor counts cover all documents.  Shared anchors travel to the texts as a bitmap of bounded size, which may let a
 needless window pass but never loses one.  Earlier means smaller doc_id, or the same doc_id and an earlier start.
 
-Null or empty text: no words.  Rows that repeat a doc_id are not repeats of each other.  A row with a null doc_id
+Null or empty text: no words.  Rows that repeat a doc_id and its text are not repeats of each other; texts that share
+a doc_id are told apart by ``sub``, a hash of the text that is 0 wherever a bitmap says that the doc_id has one text.  A row with a null doc_id
 takes no part and is kept whole.  Texts of fewer than WINDOW words are kept whole.  Other columns are not read.
 """
 
@@ -54,41 +55,58 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
 AT_ONCE = 1_000_000
 
 
-def _first_and_later(w: np.ndarray, key: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """Of equal windows the first as (w, key, start, 0); the later ones, known to be repeats, as runs of ``more`` windows."""
-    order = np.lexsort((start, key, w))
-    w, key, start = w[order], key[order], start[order]
-    later = np.zeros(len(w), bool)
-    later[1:] = w[1:] == w[:-1]
-    later[1:] &= (key[1:] != key[:-1]) | (start[1:] != start[:-1])  # rows that repeat a key are one place
-    k, s = key[later], start[later]
-    order = np.lexsort((s, k))
-    k, s = k[order], s[order]
+def _first_and_later(w: np.ndarray, key: np.ndarray, sub: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Of equal windows the first (of each text) as (w, key, sub, start, 0); the later ones, known to be repeats, as runs of ``more`` windows."""
+    order = np.lexsort((sub, start, key, w))
+    w, key, sub, start = w[order], key[order], sub[order], start[order]
+    same = w[1:] == w[:-1]
+    group = np.flatnonzero(np.concatenate([[True], ~same]))
+    first = np.repeat(group, np.diff(np.append(group, len(w))))
+    later = (key != key[first]) | (start != start[first])
+    once = ~later  # rows that repeat a key and its text are one place
+    once[1:] &= ~same | (sub[1:] != sub[:-1])
+    k, u, s = key[later], sub[later], start[later]
+    order = np.lexsort((s, u, k))
+    k, u, s = k[order], u[order], s[order]
     head = np.ones(len(k), bool)
-    head[1:] = (k[1:] != k[:-1]) | (s[1:] > s[:-1] + 1)
+    head[1:] = (k[1:] != k[:-1]) | (u[1:] != u[:-1]) | (s[1:] > s[:-1] + 1)
     at = np.flatnonzero(head)
     last = np.append(at[1:], len(k))[: len(at)] - 1
     runs = mix(k[at].astype(np.uint64) + s[at].astype(np.uint64))  # any value: it deals the runs out
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.concatenate([w[~later], runs]).view(np.int64)), pa.array(np.concatenate([key[~later], k[at]])), pa.array(np.concatenate([start[~later], s[at]])),
-            pa.array(np.concatenate([np.zeros(int((~later).sum()), np.int32), (s[last] - s[at] + 1).astype(np.int32)])),
+            pa.array(np.concatenate([w[once], runs]).view(np.int64)), pa.array(np.concatenate([key[once], k[at]])), pa.array(np.concatenate([sub[once], u[at]])),
+            pa.array(np.concatenate([start[once], s[at]])), pa.array(np.concatenate([np.zeros(int(once.sum()), np.int32), (s[last] - s[at] + 1).astype(np.int32)])),
         ],
-        ["w", "key", "start", "more"],
+        ["w", "key", "sub", "start", "more"],
     )
 
 
-def candidate_windows(docs: DataFrame, bitmap) -> DataFrame:
-    """(w, key, start, more) of all windows that hold a shared anchor on the cover, after a task's own comparison.
+def several_texts(docs: DataFrame):
+    """A bitmap of the hashed keys that more than one text has."""
+    hashes = docs.where("key IS NOT NULL").groupBy(F.xxhash64("key").alias("h")).agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"))
+    return bitmap_of(hashes.where("lo <> hi").select("h"), "several")
 
-    However often a window occurs, a task sends it on once, so no window's rows outnumber the tasks.
+
+def _subs(several, key_hashes: np.ndarray, text_hashes: np.ndarray) -> np.ndarray:
+    return np.where(several.has(key_hashes.view(np.uint64)), text_hashes, 0)
+
+
+def candidate_windows(docs: DataFrame, bitmap, several) -> DataFrame:
+    """(w, key, sub, start, more) of all windows that hold a shared anchor on the cover, after a task's own comparison.
+
+    However often a window occurs, a task sends it on once (for each text of its first key), so no window's rows
+    outnumber the tasks unless one key has many texts.  ``several``: broadcast bitmap of several_texts.
     """
+    docs = docs.select("key", "text", F.xxhash64("key"), F.xxhash64("text"))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
+            subs, row = _subs(several.value, *(batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))), 0
             for keys, words in steps(batch.column(0), batch.column(1)):
+                own, row = subs[row : row + len(keys)], row + len(keys)
                 at, hashes = _anchors(words)
                 doc, place = words.place()
                 size = np.diff(words.at)[doc]
@@ -98,24 +116,24 @@ def candidate_windows(docs: DataFrame, bitmap) -> DataFrame:
                 # An anchor at s..s+PERIOD-1 lies inside the window from s on, and so in the same text.
                 first = np.arange(len(doc))
                 ok = np.flatnonzero((seen[first + PERIOD] > seen[first]) & (place + WINDOW <= size))
-                held.append((words.windows(WINDOW)[ok], keys[doc[ok]].astype(np.int64), place[ok].astype(np.int32)))
+                held.append((words.windows(WINDOW)[ok], keys[doc[ok]].astype(np.int64), own[doc[ok]], place[ok].astype(np.int32)))
                 if sum(len(x[0]) for x in held) > AT_ONCE:
                     yield _first_and_later(*map(np.concatenate, zip(*held, strict=True)))
                     held = []
         if held:
             yield _first_and_later(*map(np.concatenate, zip(*held, strict=True)))
 
-    return docs.mapInArrow(run, "w long, key long, start int, more int")
+    return docs.mapInArrow(run, "w long, key long, sub long, start int, more int")
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(key, runs): array of struct(start, more) with all windows that also start earlier; ``docs``: (key long, text)."""
+def repeated_windows(docs: DataFrame, several) -> DataFrame:
+    """(key, sub, runs): array of struct(start, more) with all windows that also start earlier; ``docs``: (key long, text)."""
     docs = docs.where("key IS NOT NULL")
-    windows = candidate_windows(docs, bitmap_of(shared_anchors(docs), "anchors"))
+    windows = candidate_windows(docs, bitmap_of(shared_anchors(docs), "anchors"), several)
     first = F.min(F.when(F.col("more") == 0, F.struct("key", "start"))).over(Window.partitionBy("w"))
     later = windows.withColumn("first", first).where((F.col("more") > 0) | (F.struct("key", "start") > F.col("first")))
     run = F.struct("start", F.greatest("more", F.lit(1)).alias("more"))
-    return later.groupBy("key").agg(F.collect_set(run).alias("runs"))
+    return later.groupBy("key", "sub").agg(F.collect_set(run).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,13 +142,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Only texts that a bitmap of the keys with repeats lets pass are joined with their runs; the others go straight on.
     """
     own = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    repeats = materialize(repeated_windows(own), "repeats")
+    several = own.sparkSession.sparkContext.broadcast(several_texts(own))
+    repeats = materialize(repeated_windows(own, several), "repeats")
     touched = own.sparkSession.sparkContext.broadcast(bitmap_of(repeats.select(F.xxhash64("key").alias("h")), "touched"))
 
     @F.pandas_udf("boolean")
     def has_repeats(hashes: pd.Series) -> pd.Series:
         return pd.Series(touched.value.has(hashes.to_numpy().view(np.uint64)))
 
+    @F.pandas_udf("long")
+    def sub_of(key_hashes: pd.Series, text_hashes: pd.Series) -> pd.Series:
+        return pd.Series(_subs(several.value, key_hashes.to_numpy(), text_hashes.to_numpy()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, gone, kept = [], [], []
@@ -153,7 +176,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     kind = repeats.schema["runs"].dataType
     marked = own.withColumn("touched", F.col("key").isNotNull() & has_repeats(F.xxhash64("key")))
-    joined = marked.where("touched").join(repeats, "key", "left").select("key", "text", "runs")
+    joined = marked.where("touched").withColumn("sub", sub_of(F.xxhash64("key"), F.xxhash64("text"))).join(repeats, ["key", "sub"], "left").select("key", "text", "runs")
     plain = marked.where("NOT touched").select("key", "text", F.lit(None).cast(kind).alias("runs"))
     schema = "key long, n_words long, n_removed long, kept_text string"
     return joined.mapInArrow(run, schema).unionByName(plain.mapInArrow(run, schema)).withColumnRenamed("key", key)

@@ -117,3 +117,24 @@ def test_remove_repeats_empty_and_null_ids(spark):
     assert remove_repeats(empty(spark)).collect() == []
     got = remove_repeats(frame(spark, with_null_id=True)).where("doc_id IS NULL").collect()
     assert [(r.n_words, r.n_removed) for r in got] == [(60, 0)]
+
+
+def shared_ids():
+    """Unrelated texts of one id, of which one is a near copy of a smaller id, and copies of both; repeats in texts of unequal length."""
+    prose = lambda a, n: " ".join(f"w{a}x{k}" for k in range(n))
+    first, second = prose(1, 60), prose(2, 60)
+    docs = [(1, first), (5, first + " end"), (5, second), (6, second), (7, second + " end"), (8, prose(3, 30) + " " + prose(4, 40)), (9, prose(4, 40)), (9, prose(5, 200))]
+    return docs + [(9, prose(6, 100) + " " + prose(4, 40)), (9, prose(4, 40)), (9, prose(4, 40) + " " + prose(7, 9))]
+
+
+def test_ngram_join_tells_texts_of_one_id_apart(spark):
+    docs = shared_ids() + [(r[0], r[1]) for r in rows()]
+    got = ngram_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), ngram=4, num=80, den=100).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(docs, 4, 80, 100)
+
+
+def test_remove_repeats_tells_texts_of_one_id_apart(spark):
+    docs = shared_ids() + [(r[0], r[1]) for r in rows()]
+    for parts in (1, 3):
+        got = remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == brute_repeats(docs)

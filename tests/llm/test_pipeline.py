@@ -5,7 +5,7 @@ import corpus_pipeline as pipeline
 import numpy as np
 import public_tokenizers as P
 from cases import ascii_lower, empty, frame, rows
-from test_joins import brute_components
+from test_joins import brute_components, shared_ids
 from tokenizers import Tokenizer
 
 from sparkjson.llm.queries import oracle_sql, queries
@@ -51,6 +51,11 @@ def test_rows_without_an_id_pass_the_stages(spark):
         assert sorted((r.doc_id for r in docs.collect()), key=str) == [300, 7, None]
 
 
+def test_near_tells_texts_of_one_id_apart(spark):
+    docs = spark.createDataFrame(shared_ids()[:5], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text[:3]) for r in pipeline.near(spark, docs, "").collect()) == [(1, "w1x"), (5, "w2x")]
+
+
 def test_registry():
     names = list(queries())
     assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] == names[:-1] and names[-1] == "pipeline" and len(names) == 11
