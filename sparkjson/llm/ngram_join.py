@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join by token-combination prefixes, with connected components of the links.
 
 A document is the set of its distinct ``NGRAM``-word shingles.  Documents with equal sets form a class, and classes are
-joined.  A class is known by its fingerprint XOR its smallest key, so texts that share a key stay apart and one text stands for each class.  The tokens of a set are put in one global order: of the hash range below ``LOW`` first the rare ones (in fewer
+joined.  A class is known by the 128-bit fingerprint of its set.  Its 64-bit id mixes the fingerprint with the class's smallest key, so texts that share a key
+stay apart and one text stands for each class; ids are checked to be distinct, and mixed anew if they are not.  The tokens of a set are put in one global order: of the hash range below ``LOW`` first the rare ones (in fewer
 than ``FREQUENT`` documents of all), then the frequent ones, then the rest of the hash range.  Of two sets with Jaccard
 at least t, the first n - ceil(t n) + K tokens of each share K or more.  Hence the index:
 
@@ -30,12 +31,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, materialize
 from .components import components
-from .wordhash import Bitmap, Words, _spans, bitmap_of, mix, steps
+from .wordhash import Bitmap, Words, bitmap_of, mix, steps
 
 LOW, FREQUENT, HOT, BLOCK_TOKENS, BLOCK_SETS = 0.3, 16, 32, 500_000, 2048
 _Q = 0xC2B2AE3D27D4EB4F
@@ -45,8 +46,11 @@ def token_sets(words: Words, ngram: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text of a stretch."""
     hashes, at, out = words.windows(ngram), words.at, []
     sizes = np.diff(at)
-    short = np.flatnonzero((sizes > 0) & (sizes < ngram))
-    whole = dict(zip(short.tolist(), _spans(words.hash, _Q, at[short], at[short + 1]), strict=True))
+    whole = {}
+    for n in range(1, ngram):
+        short = np.flatnonzero(sizes == n)
+        if len(short):
+            whole |= dict(zip(short.tolist(), words.windows(n)[at[short]], strict=True))
     for k, n in enumerate(sizes.tolist()):
         if n >= ngram:
             out.append(np.unique(hashes[at[k] : at[k] + n - ngram + 1]))
@@ -55,12 +59,13 @@ def token_sets(words: Words, ngram: int) -> list[np.ndarray]:
     return out
 
 
-def fingerprint(tokens: np.ndarray) -> int:
-    """A signed 64-bit hash of a whole set."""
-    if not len(tokens):
-        return 0
-    x = np.array([mix(tokens ^ np.uint64(0x51ED270B3A9F1C65)).sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64)
-    return int(mix(x).view(np.int64)[0])
+def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
+    """A 128-bit hash of a whole set, as two signed longs."""
+    out = [0, 0]
+    for lane, seed in enumerate((0x51ED270B3A9F1C65, 0x2545F4914F6CDD1D)) if len(tokens) else ():
+        x = np.array([mix(tokens ^ np.uint64(seed)).sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64)
+        out[lane] = int(mix(x).view(np.int64)[0])
+    return out[0], out[1]
 
 
 def level(n: int) -> int:
@@ -129,18 +134,19 @@ def _sets(docs: DataFrame, ngram: int, schema: str, emit) -> DataFrame:
 
 
 def set_sizes(docs: DataFrame, ngram: int) -> DataFrame:
-    """key, n, fp and text_hash of every row."""
+    """key, n, fp, fq (the fingerprint's halves) and text_hash of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for keys, words in steps(batch.column(0), batch.column(1), lower=True):
                 sets = token_sets(words, ngram)
-                columns = [pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, batch.column(2).slice(at, len(keys))], ["key", "n", "fp", "text_hash"])
+                prints = [fingerprint(s) for s in sets]
+                columns = [keys, [len(s) for s in sets], [p for p, _ in prints], [q for _, q in prints]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), batch.column(2).slice(at, len(keys))], ["key", "n", "fp", "fq", "text_hash"])
                 at += len(keys)
 
-    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "key long, n long, fp long, text_hash long")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "key long, n long, fp long, fq long, text_hash long")
 
 
 def frequent_tokens(docs: DataFrame, ngram: int) -> DataFrame:
@@ -156,13 +162,16 @@ def frequent_tokens(docs: DataFrame, ngram: int) -> DataFrame:
 
 
 def index_rows(docs: DataFrame, ngram: int, index, only=None) -> DataFrame:
-    """(k, fp): mixed index keys of the sets; ``only``: broadcast Bitmap that the keys have to pass."""
+    """(k, fp): mixed index keys of the sets; ``only``: broadcast Bitmap that the keys have to pass.
+
+    Half a fingerprint is enough here: classes that share it are all taken for candidates.
+    """
 
     def emit(_, sets):
         ks, fps = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         done = set()
         for s in sets:
-            fp = fingerprint(s)
+            fp = fingerprint(s)[0]
             if fp in done:
                 continue
             done.add(fp)
@@ -299,8 +308,10 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     spark = docs.sparkSession
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     sizes = materialize(set_sizes(own, ngram), "sizes")
-    classes = sizes.where("n > 0 AND key IS NOT NULL").groupBy("fp").agg(F.min("key").alias("class_id"), F.max("n").alias("n"))
-    classes = classes.withColumn("id", F.col("class_id").bitwiseXOR(F.col("fp")))
+    classes = sizes.where("n > 0 AND key IS NOT NULL").groupBy("fp", "fq").agg(F.min("key").alias("class_id"), F.max("n").alias("n"))
+    classes = materialize(classes, "classes")
+    salt = next(k for k in range(64) if classes.groupBy(_class_id(k)).count().where("count > 1").isEmpty())
+    classes = classes.withColumn("id", _class_id(salt))
 
     share = spark.sparkContext.broadcast
     index = share(Index(num, den, bitmap_of(frequent_tokens(own, ngram), "frequent")))
@@ -320,12 +331,12 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
 
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(clusters.select("id")).distinct()
     chosen = share(bitmap_of(wanted.join(classes, "id").select(F.xxhash64("class_id").alias("h")), "wanted"))
-    details = materialize(_details(own, ngram, chosen), "details")
+    details = materialize(_details(own, ngram, chosen, salt), "details")
     links = materialize(_pair_links(pairs, details, num, den).union(_cluster_links(clusters, details, num, den)), "links")
     label = components(links)
     least = label.join(classes.select("id", "class_id"), "id").groupBy("label").agg(F.min("class_id").alias("component"))
-    named = classes.select("fp", "id", "class_id").join(label.join(least, "label"), "id", "left")
-    out = sizes.join(named, "fp", "left")
+    named = classes.select("fp", "fq", "id", "class_id").join(label.join(least, "label"), "id", "left")
+    out = sizes.join(named, ["fp", "fq"], "left")
     alone = (F.col("n") == 0) | F.col("key").isNull()
     return out.select(
         F.col("key").alias(key),
@@ -337,7 +348,11 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     )
 
 
-def _details(docs: DataFrame, ngram: int, chosen) -> DataFrame:
+def _class_id(salt: int) -> Column:
+    return F.col("class_id").bitwiseXOR(F.col("fp")).bitwiseXOR(F.shiftleft("fq", salt)).alias("id")
+
+
+def _details(docs: DataFrame, ngram: int, chosen, salt: int) -> DataFrame:
     """(id, n, bits, tokens) of the documents that ``chosen`` lets pass; only those with their class's smallest key have its id."""
     kept = docs.where("key IS NOT NULL").withColumn("h", F.xxhash64("key"))
     names = ["id", "n", "bits", "tokens"]
@@ -348,8 +363,9 @@ def _details(docs: DataFrame, ngram: int, chosen) -> DataFrame:
             batch = batch.filter(pa.array(ok))
             for keys, words in steps(batch.column(0), batch.column(1), lower=True):
                 sets = token_sets(words, ngram)
+                prints = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys ^ np.array([fingerprint(s) for s in sets], np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_bits(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    [pa.array(keys ^ prints[:, 0] ^ (prints[:, 1] << salt)), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_bits(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                     names,
                 )
 

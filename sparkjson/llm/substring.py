@@ -7,7 +7,8 @@ them; the windows around shared anchors are extended to their full length and ha
 one that starts first stays.  A task compares its own windows first and sends each on once.
 
 Anchor counts cover all documents.  Shared anchors travel to the texts as a bitmap of bounded size, which may let a
-needless window pass but never loses one.  Earlier means smaller doc_id, or the same doc_id and an earlier start.
+needless window pass but never loses one.  Windows are equal when their 128-bit hashes are (see wordhash).  Earlier
+means smaller doc_id, or the same doc_id and an earlier start.
 
 Null or empty text: no words.  Rows that repeat a doc_id and its text are not repeats of each other; texts that share
 a doc_id are told apart by ``sub``, a hash of the text that is 0 wherever a bitmap says that the doc_id has one text.  A row with a null doc_id
@@ -19,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,15 +51,16 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
     return counts.where("n > 1").select("anchor")
 
 
-#: Windows that a task gathers before it compares them among themselves.
-AT_ONCE = 1_000_000
+#: Windows that a task gathers before it compares them among themselves, and rows that a result holds at once.
+AT_ONCE, ROWS = 250_000, 512
+_COLUMNS = ("w", "v", "key", "sub", "start", "more")
 
 
-def _first_and_later(w: np.ndarray, key: np.ndarray, sub: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """Of equal windows the first (of each text) as (w, key, sub, start, 0); the later ones, known to be repeats, as runs of ``more`` windows."""
-    order = np.lexsort((sub, start, key, w))
-    w, key, sub, start = w[order], key[order], sub[order], start[order]
-    same = w[1:] == w[:-1]
+def _first_and_later(w: np.ndarray, v: np.ndarray, key: np.ndarray, sub: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Of equal windows (w and v) the first (of each text), with ``more`` 0; the later ones, known to be repeats, as runs of ``more`` windows."""
+    order = np.lexsort((sub, start, key, v, w))
+    w, v, key, sub, start = w[order], v[order], key[order], sub[order], start[order]
+    same = (w[1:] == w[:-1]) & (v[1:] == v[:-1])
     group = np.flatnonzero(np.concatenate([[True], ~same]))
     first = np.repeat(group, np.diff(np.append(group, len(w))))
     later = (key != key[first]) | (start != start[first])
@@ -73,13 +74,10 @@ def _first_and_later(w: np.ndarray, key: np.ndarray, sub: np.ndarray, start: np.
     at = np.flatnonzero(head)
     last = np.append(at[1:], len(k))[: len(at)] - 1
     runs = mix(k[at].astype(np.uint64) + s[at].astype(np.uint64))  # any value: it deals the runs out
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate([w[once], runs]).view(np.int64)), pa.array(np.concatenate([key[once], k[at]])), pa.array(np.concatenate([sub[once], u[at]])),
-            pa.array(np.concatenate([start[once], s[at]])), pa.array(np.concatenate([np.zeros(int(once.sum()), np.int32), (s[last] - s[at] + 1).astype(np.int32)])),
-        ],
-        ["w", "key", "sub", "start", "more"],
-    )
+    more = np.concatenate([np.zeros(int(once.sum()), np.int32), (s[last] - s[at] + 1).astype(np.int32)])
+    pairs = ((w[once], runs), (v[once], runs), (key[once], k[at]), (sub[once], u[at]), (start[once], s[at]))
+    joined = [np.concatenate(x) for x in pairs]
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in (*joined, more)], _COLUMNS)
 
 
 def several_texts(docs: DataFrame):
@@ -93,7 +91,7 @@ def _subs(several, key_hashes: np.ndarray, text_hashes: np.ndarray) -> np.ndarra
 
 
 def candidate_windows(docs: DataFrame, bitmap, several) -> DataFrame:
-    """(w, key, sub, start, more) of all windows that hold a shared anchor on the cover, after a task's own comparison.
+    """(w, v, key, sub, start, more) of all windows that hold a shared anchor on the cover, after a task's own comparison.
 
     However often a window occurs, a task sends it on once (for each text of its first key), so no window's rows
     outnumber the tasks unless one key has many texts.  ``several``: broadcast bitmap of several_texts.
@@ -116,21 +114,21 @@ def candidate_windows(docs: DataFrame, bitmap, several) -> DataFrame:
                 # An anchor at s..s+PERIOD-1 lies inside the window from s on, and so in the same text.
                 first = np.arange(len(doc))
                 ok = np.flatnonzero((seen[first + PERIOD] > seen[first]) & (place + WINDOW <= size))
-                held.append((words.windows(WINDOW)[ok], keys[doc[ok]].astype(np.int64), own[doc[ok]], place[ok].astype(np.int32)))
+                held.append((words.windows(WINDOW)[ok], words.windows(WINDOW, 1)[ok], keys[doc[ok]].astype(np.int64), own[doc[ok]], place[ok].astype(np.int32)))
                 if sum(len(x[0]) for x in held) > AT_ONCE:
                     yield _first_and_later(*map(np.concatenate, zip(*held, strict=True)))
                     held = []
         if held:
             yield _first_and_later(*map(np.concatenate, zip(*held, strict=True)))
 
-    return docs.mapInArrow(run, "w long, key long, sub long, start int, more int")
+    return docs.mapInArrow(run, "w long, v long, key long, sub long, start int, more int")
 
 
 def repeated_windows(docs: DataFrame, several) -> DataFrame:
     """(key, sub, runs): array of struct(start, more) with all windows that also start earlier; ``docs``: (key long, text)."""
     docs = docs.where("key IS NOT NULL")
     windows = candidate_windows(docs, bitmap_of(shared_anchors(docs), "anchors"), several)
-    first = F.min(F.when(F.col("more") == 0, F.struct("key", "start"))).over(Window.partitionBy("w"))
+    first = F.min(F.when(F.col("more") == 0, F.struct("key", "start"))).over(Window.partitionBy("w", "v"))
     later = windows.withColumn("first", first).where((F.col("more") > 0) | (F.struct("key", "start") > F.col("first")))
     run = F.struct("start", F.greatest("more", F.lit(1)).alias("more"))
     return later.groupBy("key", "sub").agg(F.collect_set(run).alias("runs"))
@@ -145,41 +143,52 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     several = own.sparkSession.sparkContext.broadcast(several_texts(own))
     repeats = materialize(repeated_windows(own, several), "repeats")
     touched = own.sparkSession.sparkContext.broadcast(bitmap_of(repeats.select(F.xxhash64("key").alias("h")), "touched"))
+    hashed = own.select("key", "text", F.xxhash64("key"), F.xxhash64("text"))
 
-    @F.pandas_udf("boolean")
-    def has_repeats(hashes: pd.Series) -> pd.Series:
-        return pd.Series(touched.value.has(hashes.to_numpy().view(np.uint64)))
-
-    @F.pandas_udf("long")
-    def sub_of(key_hashes: pd.Series, text_hashes: pd.Series) -> pd.Series:
-        return pd.Series(_subs(several.value, key_hashes.to_numpy(), text_hashes.to_numpy()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch], hit: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        """Rows whose key may have repeats, or the others, with their ``sub``."""
         for batch in batches:
-            sizes, gone, kept = [], [], []
-            for body, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words, cut = body.encode().split(), 0  # bytes split at just these separators
-                sizes.append(len(words))
-                if runs:
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    start, more = (np.array([r[x] for r in runs]) for x in ("start", "more"))
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + (WINDOW - 1 + more), -1)
-                    stay = np.cumsum(edge)[:-1] == 0
-                    cut = len(words) - int(stay.sum())
-                    words = [words[i] for i in np.flatnonzero(stay)]
-                gone.append(cut)
-                kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["key", "n_words", "n_removed", "kept_text"]
-            )
-
-    kind = repeats.schema["runs"].dataType
-    marked = own.withColumn("touched", F.col("key").isNotNull() & has_repeats(F.xxhash64("key")))
-    joined = marked.where("touched").withColumn("sub", sub_of(F.xxhash64("key"), F.xxhash64("text"))).join(repeats, ["key", "sub"], "left").select("key", "text", "runs")
-    plain = marked.where("NOT touched").select("key", "text", F.lit(None).cast(kind).alias("runs"))
+            for at in range(0, len(batch), ROWS):
+                some = batch.slice(at, ROWS)
+                key_hashes, text_hashes = (some.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+                ok = touched.value.has(key_hashes.view(np.uint64)) & some.column(0).is_valid().to_numpy(zero_copy_only=False)
+                ok = ok if hit else ~ok
+                yield some.filter(pa.array(ok)), _subs(several.value, key_hashes, text_hashes)[ok]
+
+    def with_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, subs in parts(batches, True):
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(subs), some.column(1)], ["key", "sub", "text"])
+
+    def result(keys: pa.Array, texts: pa.Array, runs: list) -> pa.RecordBatch:
+        sizes, gone, kept = [], [], []
+        for body, own_runs in zip(texts, runs, strict=True):
+            words, cut = body.as_py().encode().split(), 0  # bytes split at just these separators
+            sizes.append(len(words))
+            if own_runs:
+                edge = np.zeros(len(words) + 1, np.int32)
+                start, more = (np.array([r[x] for r in own_runs]) for x in ("start", "more"))
+                np.add.at(edge, start, 1)
+                np.add.at(edge, start + (WINDOW - 1 + more), -1)
+                stay = np.cumsum(edge)[:-1] == 0
+                cut = len(words) - int(stay.sum())
+                words = [words[i] for i in np.flatnonzero(stay)]
+            gone.append(cut)
+            kept.append(b" ".join(words).decode())
+        return pa.RecordBatch.from_arrays([keys, pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["key", "n_words", "n_removed", "kept_text"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, _ in parts(batches, False):
+            yield result(some.column(0), some.column(1), [None] * len(some))
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                some = batch.slice(at, ROWS)
+                yield result(some.column(0), some.column(1), some.column(2).to_pylist())
+
     schema = "key long, n_words long, n_removed long, kept_text string"
-    return joined.mapInArrow(run, schema).unionByName(plain.mapInArrow(run, schema)).withColumnRenamed("key", key)
+    joined = hashed.mapInArrow(with_repeats, "key long, sub long, text string").join(repeats, ["key", "sub"], "left").select("key", "text", "runs")
+    return joined.mapInArrow(reduced, schema).unionByName(hashed.mapInArrow(whole, schema)).withColumnRenamed("key", key)
 
 
 def op9_substring_dedup(spark, sf_dir):

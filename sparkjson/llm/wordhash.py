@@ -1,15 +1,17 @@
 """Hashes of words and word windows for whole Arrow batches at once, and a bounded bitmap of shared hashes.
 
 Words are runs of bytes other than space and U+0009..U+000D of the UTF-8 text, which is the same as for characters.
-A word's hash is a polynomial over its bytes, a window's one over its words' hashes, both modulo 2**64 and mixed; they
-come from prefix sums, so the cost does not depend on the window.  Equal sequences always have equal hashes; unequal
-ones share one with probability about 2**-64 for each pair that is compared.
+A word's hash takes in its bytes eight at a time, each step mixed by the finalizer of MurmurHash3; a word of more than
+``LONG`` bytes has BLAKE2b instead.  A window's hash joins those of its two halves, again mixed, so no sum or product
+of words makes two windows meet.  There are two lanes with different constants: one gives 64 bits, for filters and
+shingles of a pair of documents; both together 128 bits, which stand for equality in a whole corpus: 10**13 different windows share
+one with probability about 10**-13.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +22,12 @@ from .common import materialize
 
 #: Text bytes that are hashed in one step (or one whole text, if that is longer), and rows that are copied at once.
 STEP_BYTES, STEP_ROWS = 500_000, 512
-_P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-
-
-@lru_cache(maxsize=4)
-def _powers(base: int, log2: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**0..base**(2**log2) and the powers of its inverse, modulo 2**64."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        x = np.full((1 << log2) + 1, b, np.uint64)
-        x[0] = 1
-        out.append(np.multiply.accumulate(x))
-    return out[0], out[1]
+#: Words of more bytes are hashed one by one.
+LONG = 256
+#: Odd constants of the two lanes.
+LANES = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+#: Keeps the first 0..8 bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,12 +40,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _spans(values: np.ndarray, base: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Mixed polynomial hashes of values[first:last], one for each pair."""
-    power, inverse = _powers(base, max(16, int(len(values)).bit_length()))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[: len(values)], out=sums[1:])
-    return mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
+def _join(a: np.ndarray, b: np.ndarray, lane: int) -> np.ndarray:
+    """The hash of a sequence from those of its two parts."""
+    p, q = LANES[lane]
+    return mix(mix(a + np.uint64(p)) * np.uint64(q) + b)
+
+
+def hash_words(data: np.ndarray, first: np.ndarray, last: np.ndarray, lane: int) -> np.ndarray:
+    """Hashes of the words data[first:last]."""
+    p, q = (np.uint64(x) for x in LANES[lane])
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = last - first
+    out = mix((eight[first] & _FIRST[np.minimum(size, 8)]) + p)
+    out = mix(out * q + size.astype(np.uint64))
+    more, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(more):
+        part = eight[first[more] + at] & _FIRST[np.minimum(size[more] - at, 8)]
+        out[more] = mix(out[more] * q + part)
+        at += 8
+        more = more[size[more] > at]
+    for k in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[first[k] : last[k]].tobytes(), digest_size=8, salt=bytes([lane])).digest()
+        out[k] = int.from_bytes(digest, "little")
+    return out
 
 
 class Words:
@@ -67,14 +81,25 @@ class Words:
         after[inner[inner > 0] - 1] = True
         first = np.flatnonzero(~separator & before)
         last = np.flatnonzero(~separator & after) + 1
-        self.hash = _spans(data.astype(np.uint64) + np.uint64(1), _P, first, last)
+        self.lanes = lambda lane: hash_words(data, first, last, lane)
+        self.hash = self.lanes(0)
         self.at = np.searchsorted(first, offsets)
 
-    def windows(self, width: int) -> np.ndarray:
-        """Hash of the ``width`` words from each word on; places whose window leaves the text are junk."""
+    def windows(self, width: int, lane: int = 0) -> np.ndarray:
+        """Hash of the ``width`` words from each word on; places whose window leaves the text are junk.
+
+        Joined from windows of one, two, four, .. words, as the bits of ``width`` say.
+        """
         n = len(self.hash)
-        first = np.arange(n)
-        return _spans(self.hash, _Q, first, np.minimum(first + width, n))
+        power, size, out, used = self.hash if lane == 0 else self.lanes(lane), 1, None, 0
+        while size <= width <= n:
+            if width & size:
+                out = power if out is None else _join(out[: len(power) - used], power[used:], lane)
+                used += size
+            size *= 2
+            if size <= width:
+                power = _join(power[: -(size // 2)], power[size // 2 :], lane)
+        return np.concatenate([out, np.zeros(n - len(out), np.uint64)]) if out is not None else np.zeros(n, np.uint64)
 
     def place(self) -> tuple[np.ndarray, np.ndarray]:
         """Each word's text and its place in it."""

@@ -1,11 +1,13 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from cases import ascii_lower, empty, frame, rows, words
 
 from sparkjson.llm.components import components
 from sparkjson.llm.ngram_join import block_links, fold, ngram_components, parity_bits, similar
 from sparkjson.llm.substring import COVER, PERIOD, remove_repeats
+from sparkjson.llm.wordhash import steps
 
 
 def brute_components(docs, n, num, den):
@@ -138,3 +140,33 @@ def test_remove_repeats_tells_texts_of_one_id_apart(spark):
     for parts in (1, 3):
         got = remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)).collect()
         assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == brute_repeats(docs)
+
+
+def twins(n=2048):
+    """A word over a and b and its complement, which every polynomial modulo 2**64 with an odd base takes for equal."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_words_that_fool_polynomials_differ(spark):
+    a, b = twins()
+    rest = " ".join(f"r{k}" for k in range(19))
+    for docs in ([(1, a), (2, b)], [(1, f"{rest} {a}"), (2, f"{rest} {b}")], [(1, " ".join(a)), (2, " ".join(b))]):
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_components(df).collect()) == brute_components(docs, 4, 85, 100)
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(df).collect()) == brute_repeats(docs)
+
+
+def test_window_hashes_tell_all_windows_apart():
+    texts = [r[1] for r in rows()] + ["y" * 300 + " z", "y" * 299 + "x z", "a b", "b a", "a\0 b", "a b\0"]
+    for lane in (0, 1):
+        for width in (1, 4, 5, 8, 20):
+            seen = {}
+            for keys, found in steps(pa.array(range(len(texts))), pa.array(texts)):
+                hashes = found.windows(width, lane)
+                for k, at, end in zip(keys, found.at, found.at[1:], strict=False):
+                    ws = words(texts[k])
+                    assert end - at == len(ws)
+                    for i in range(len(ws) - width + 1):
+                        assert seen.setdefault(tuple(ws[i : i + width]), hashes[at + i]) == hashes[at + i]
+            assert len(set(seen.values())) == len(seen)
