@@ -6,8 +6,10 @@ equal values get equal pseudonyms in all documents and different values stay dif
 * payment cards: 13-19 digits that pass the Luhn check; the check digit is made anew; other digit runs stay;
 * telephone numbers: the digits after the country code; separators stay;
 * IPv4 addresses: the 32 bits;
-* social security numbers: the nine digits, if area, group and serial are allowed ones;
-* dates (yyyy-mm-dd) of the years 1700-2500 that exist: the day, inside an era of 73,170 days.
+* social security numbers whose area, group and serial are allowed ones: the number's place among all allowed ones;
+* dates (yyyy-mm-dd) of the years 1700-2500 that exist: the day's place among all days of these years.
+
+The two halves of a network need not be alike, so it permutes just the allowed values and no pseudonym leaves its format.
 
 Two kinds are no numbers: an e-mail address becomes ``user`` and keyed hex digits at the reserved domain
 ``example.invalid``, and a hexadecimal secret of 32-64 digits becomes keyed hex digits of its length and case.
@@ -17,6 +19,9 @@ first, then cards, then telephone numbers, each in what the kinds before it left
 spaces or hyphens between them, cards in a usual shape (one number, 4-4-4-4, 4-6-5 and the like) come before any other
 neighbours that pass as one card.  A run that has a card's shape as a whole but a wrong check digit stays.
 
+The key is a Column, so that ``key_from`` can read it from a file when the job runs and no plan or event log shows it; a
+plain string works too, but stands in the plan.
+
 Whole texts are searched.  A text without a match comes back unchanged, null stays null, the empty text stays
 empty; equal rows get equal results.  Other columns are carried along.
 """
@@ -25,15 +30,17 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, let
+from .common import documents, let, scratch_path
 
 ROUNDS = 8
-ERA = (270, 271)
+#: Days of the years 1700-2500 as a product, and allowed social security numbers as areas and the rest.
+DAYS, SSNS = (37, 7907), (898, 99 * 9999)
 
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
+#: Possessive, so that no number of labels exhausts the stack.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 HEX = r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])"
 IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\d-])|(?<![\d+])\+\d{8,15}(?!\d)"
@@ -55,11 +62,26 @@ def _power(n: Column) -> Column:
     return F.get(F.array(*(F.lit(p).cast("long") for p in _POWERS)), n)
 
 
-def _digest(key: str, *parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), *parts), 256)
+def _digest(key: Column, *parts: Column) -> Column:
+    return F.sha2(F.concat_ws("|", key, *parts), 256)
+
+
+def key_from(spark: SparkSession, path: str) -> Column:
+    """The key in the file ``path``, read when a job runs; line ends around it do not count."""
+    return spark.read.text(path, wholetext=True).select(F.trim(F.col("value"), F.lit("\r\n"))).scalar()
+
+
+def store_key(spark: SparkSession, key: str) -> str:
+    """Write ``key`` to a new file of the shared folder and return its path."""
+    path = scratch_path(spark, "key")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+    out.write(bytearray(key.encode()))
+    out.close()
+    return path
 
 
-def permute(key: str, tweak: Column, left: Column, right: Column, m_left: Column, m_right: Column, body) -> Column:
+def permute(key: Column, tweak: Column, left: Column, right: Column, m_left: Column, m_right: Column, body) -> Column:
     """Apply the Feistel permutation of Z(m_left) x Z(m_right); ``body(left, right)`` makes the result."""
 
     def shift(i: Column, value: Column) -> Column:
@@ -76,7 +98,7 @@ def permute(key: str, tweak: Column, left: Column, right: Column, m_left: Column
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: body(s["l"], s["r"]))
 
 
-def permute_digits(key: str, kind: str, digits: Column) -> Column:
+def permute_digits(key: Column, kind: str, digits: Column) -> Column:
     """A permutation of the digit strings of the same length (2 to 36 digits)."""
 
     def of(d: Column) -> Column:
@@ -118,7 +140,7 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda s, k: s + term(k))
 
 
-def card(key: str, value: Column) -> Column:
+def card(key: Column, value: Column) -> Column:
     """The pseudonym of a card that passes the Luhn check."""
 
     def of(d: Column) -> Column:
@@ -172,7 +194,7 @@ def cards(run: Column, shaped: bool, mark: str) -> Column:
     return F.when(run.rlike(rf"(?<!\d)(?:{SHAPE})(?!\d)"), cut).otherwise(none)
 
 
-def phone(key: str, value: Column) -> Column:
+def phone(key: Column, value: Column) -> Column:
     head = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0)
 
     def of(h: Column) -> Column:
@@ -185,7 +207,7 @@ def phone(key: str, value: Column) -> Column:
     return let(head, of)
 
 
-def ipv4(key: str, value: Column) -> Column:
+def ipv4(key: Column, value: Column) -> Column:
     def of(o: Column) -> Column:
         n = lambda k: F.get(o, k).cast("long")
         octets = lambda x: F.concat((x / 256).cast("long").cast("string"), F.lit("."), F.pmod(x, F.lit(256)).cast("string"))
@@ -196,36 +218,42 @@ def ipv4(key: str, value: Column) -> Column:
     return let(F.split(value, r"\."), of)
 
 
-def ssn(key: str, value: Column) -> Column:
+def ssn(key: Column, value: Column) -> Column:
     good = ~value.rlike(r"^(?:000|666|9)|-00-|-0000$")
-    return F.when(good, let(permute_digits(key, "ssn", only_digits(value)), lambda x: refill(value, x))).otherwise(value)
+
+    def of(d: Column) -> Column:
+        part = lambda first, n: F.substr(d, F.lit(first), F.lit(n)).cast("long")
+        area = part(1, 3)
+        left = area - F.when(area > 666, 2).otherwise(1)
+        right = (part(4, 2) - 1) * 9999 + part(6, 4) - 1
+        padded = lambda n, width: F.lpad(n.cast("long").cast("string"), width, "0")
+        body = lambda l, r: F.concat(padded(l + F.when(l > 664, 2).otherwise(1), 3), padded(r / 9999 + 1, 2), padded(F.pmod(r, F.lit(9999)) + 1, 4))  # noqa: E731,E741
+        return permute(key, F.lit("ssn"), left, right, F.lit(SSNS[0]), F.lit(SSNS[1]), body)
+
+    return F.when(good, let(let(only_digits(value), of), lambda x: refill(value, x))).otherwise(value)
 
 
-def date(key: str, value: Column) -> Column:
-    origin, size = F.lit("1900-01-01").cast("date"), F.lit(ERA[0] * ERA[1])
+def date(key: Column, value: Column) -> Column:
+    origin = F.lit("1700-01-01").cast("date")
 
     def of(day: Column) -> Column:
-        place = F.pmod(day, size)
-        era = ((day - place) / size).cast("int")
-        out = permute(
-            key, F.concat(F.lit("date"), era.cast("string")), (place / ERA[1]).cast("int"), F.pmod(place, F.lit(ERA[1])), F.lit(ERA[0]), F.lit(ERA[1]),
-            lambda l, r: F.date_format(F.date_add(origin, (era * size + l * ERA[1] + r).cast("int")), "yyyy-MM-dd"),  # noqa: E741
-        )
+        body = lambda l, r: F.date_format(F.date_add(origin, (l * DAYS[1] + r).cast("int")), "yyyy-MM-dd")  # noqa: E731,E741
+        out = permute(key, F.lit("date"), (day / DAYS[1]).cast("int"), F.pmod(day, F.lit(DAYS[1])), F.lit(DAYS[0]), F.lit(DAYS[1]), body)
         return F.when(day.isNotNull() & F.substring(value, 1, 4).between("1700", "2500"), out).otherwise(value)
 
     return let(F.datediff(F.try_to_date(value, "yyyy-MM-dd"), origin), of)
 
 
-def email(key: str, value: Column) -> Column:
+def email(key: Column, value: Column) -> Column:
     return F.concat(F.lit("user"), F.substring(_digest(key, F.lit("email"), F.lower(value)), 1, 16), F.lit("@example.invalid"))
 
 
-def secret(key: str, value: Column) -> Column:
+def secret(key: Column, value: Column) -> Column:
     fresh = F.substr(_digest(key, F.lit("hex"), value), F.lit(1), F.length(value))
     return F.when(~value.rlike("[0-9]"), value).when(value.rlike("[A-F]"), F.upper(fresh)).otherwise(fresh)
 
 
-def pseudonym(key: str, value: Column) -> Column:
+def pseudonym(key: Column, value: Column) -> Column:
     """The pseudonym of a match of FIRST; one that fails its validation comes back as it is."""
     whole = lambda pattern: value.rlike(f"^(?:{pattern})$")
     return (
@@ -243,9 +271,14 @@ def fill(text: Column, pattern: str, new: Column) -> Column:
     return F.array_join(F.zip_with(F.split(text, pattern, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
-def pseudonymize(docs: DataFrame, secret_key: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` replaced and ``n_replaced`` added (replacing a column of that name)."""
-    t = F.col(text)
+def pseudonymize(docs: DataFrame, secret_key: str | Column, text: str = "text") -> DataFrame:
+    """``docs`` with ``text`` replaced and ``n_replaced`` added (replacing a column of that name).
+
+    A null key is an error, as soon as a text is searched.
+    """
+    t, key = F.col(text), F.col("__key")
+    named = secret_key if isinstance(secret_key, Column) else F.lit(secret_key)
+    docs = docs.withColumn("__key", named)
     all_of = lambda body, pattern: F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
     pair = lambda body, found: F.struct(body.alias("text"), found.alias("found"))
 
@@ -258,22 +291,23 @@ def pseudonymize(docs: DataFrame, secret_key: str, text: str = "text") -> DataFr
         return let(runs, joined)
 
     # A column for each step: in one expression, each level of lambdas would be worked out anew by those around it.
-    out = docs.withColumn("__a", F.when(t.rlike("[0-9@]"), marked(t, FIRST, MARKS[0])))
+    checked = F.when(key.isNotNull(), t).otherwise(F.raise_error(F.lit("the key is null")).cast("string"))
+    out = docs.withColumn("__a", F.when(t.rlike("[0-9@]"), marked(checked, FIRST, MARKS[0])))
     out = out.withColumn("__b", F.when(F.col("__a").isNotNull(), marked_cards(F.col("__a")["text"], True, MARKS[1])))
     out = out.withColumn("__c", F.when(F.col("__b").isNotNull(), marked_cards(F.col("__b")["text"], False, MARKS[2])))
     out = out.withColumn("__d", F.when(F.col("__c").isNotNull(), marked(F.col("__c")["text"], LAST, MARKS[3])))
     number = lambda k, m: F.when(m.rlike(f"^(?:{SHAPE})$"), m).otherwise(phone(k, m))
     kinds = {"__a": pseudonym, "__b": card, "__c": card, "__d": number}
     found = {c: F.col(c)["found"] for c in kinds}
-    out = out.withColumn("__new", F.struct(*(F.transform(found[c], partial(make, secret_key)).alias(c) for c, make in kinds.items())))
+    out = out.withColumn("__new", F.struct(*(F.transform(found[c], partial(make, key)).alias(c) for c, make in kinds.items())))
     body = F.col("__d")["text"]
     for c, mark in reversed([*zip(kinds, MARKS, strict=True)]):
         body = fill(body, mark, F.col("__new")[c])
     changed = F.filter(F.zip_with(F.concat(*found.values()), F.concat(*(F.col("__new")[c] for c in kinds)), lambda x, y: x != y), lambda x: x)
     searched = F.col("__a").isNotNull()
     swapped = {text: F.when(searched, body).otherwise(t), "n_replaced": F.when(searched, F.size(changed)).otherwise(0).cast("long")}
-    return out.withColumns(swapped).drop(*kinds, "__new")
+    return out.withColumns(swapped).drop(*kinds, "__new", "__key")
 
 
 def op6_pii_pseudonyms(spark, sf_dir):
-    return pseudonymize(documents(spark, sf_dir, "doc_id", "text"), "demo-key")
+    return pseudonymize(documents(spark, sf_dir, "doc_id", "text"), key_from(spark, store_key(spark, "demo-key")))
