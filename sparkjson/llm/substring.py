@@ -7,8 +7,9 @@ them; the windows around shared anchors are extended to their full length and ha
 one that starts first stays.  A task compares its own windows first and sends each on once.
 
 Anchor counts cover all documents.  Shared anchors travel to the texts as a bitmap of bounded size, which may let a
-needless window pass but never loses one.  Windows are equal when their 128-bit hashes are (see wordhash).  Earlier
-means smaller doc_id, or the same doc_id and an earlier start.
+needless window pass but never loses one.  Windows are equal when their 96-bit hashes are (see wordhash): among
+10**13 different windows two share one with a probability below 10**-3.  Earlier means smaller doc_id, or the same
+doc_id and an earlier start.
 
 Null or empty text: no words.  Rows that repeat a doc_id and its text are not repeats of each other; texts that share
 a doc_id are told apart by ``sub``, a hash of the text that is 0 wherever a bitmap says that the doc_id has one text.  A row with a null doc_id
@@ -52,7 +53,7 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
 
 
 #: Windows that a task gathers before it compares them among themselves, and rows that a result holds at once.
-AT_ONCE, ROWS = 250_000, 512
+AT_ONCE, ROWS = 500_000, 512
 _COLUMNS = ("w", "v", "key", "sub", "start", "more")
 
 
@@ -73,9 +74,9 @@ def _first_and_later(w: np.ndarray, v: np.ndarray, key: np.ndarray, sub: np.ndar
     head[1:] = (k[1:] != k[:-1]) | (u[1:] != u[:-1]) | (s[1:] > s[:-1] + 1)
     at = np.flatnonzero(head)
     last = np.append(at[1:], len(k))[: len(at)] - 1
-    runs = mix(k[at].astype(np.uint64) + s[at].astype(np.uint64))  # any value: it deals the runs out
+    runs, zero = mix(k[at].astype(np.uint64) + s[at].astype(np.uint64)), np.zeros(len(at), np.int32)  # any value: it deals the runs out
     more = np.concatenate([np.zeros(int(once.sum()), np.int32), (s[last] - s[at] + 1).astype(np.int32)])
-    pairs = ((w[once], runs), (v[once], runs), (key[once], k[at]), (sub[once], u[at]), (start[once], s[at]))
+    pairs = ((w[once], runs), (v[once], zero), (key[once], k[at]), (sub[once], u[at]), (start[once], s[at]))
     joined = [np.concatenate(x) for x in pairs]
     return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in (*joined, more)], _COLUMNS)
 
@@ -114,14 +115,14 @@ def candidate_windows(docs: DataFrame, bitmap, several) -> DataFrame:
                 # An anchor at s..s+PERIOD-1 lies inside the window from s on, and so in the same text.
                 first = np.arange(len(doc))
                 ok = np.flatnonzero((seen[first + PERIOD] > seen[first]) & (place + WINDOW <= size))
-                held.append((words.windows(WINDOW)[ok], words.windows(WINDOW, 1)[ok], keys[doc[ok]].astype(np.int64), own[doc[ok]], place[ok].astype(np.int32)))
+                held.append((words.windows(WINDOW)[ok], (words.windows(WINDOW, 1)[ok] >> np.uint64(32)).astype(np.uint32).view(np.int32), keys[doc[ok]].astype(np.int64), own[doc[ok]], place[ok].astype(np.int32)))
                 if sum(len(x[0]) for x in held) > AT_ONCE:
                     yield _first_and_later(*map(np.concatenate, zip(*held, strict=True)))
                     held = []
         if held:
             yield _first_and_later(*map(np.concatenate, zip(*held, strict=True)))
 
-    return docs.mapInArrow(run, "w long, v long, key long, sub long, start int, more int")
+    return docs.mapInArrow(run, "w long, v int, key long, sub long, start int, more int")
 
 
 def repeated_windows(docs: DataFrame, several) -> DataFrame:

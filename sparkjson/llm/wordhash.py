@@ -4,8 +4,7 @@ Words are runs of bytes other than space and U+0009..U+000D of the UTF-8 text, w
 A word's hash takes in its bytes eight at a time, each step mixed by the finalizer of MurmurHash3; a word of more than
 ``LONG`` bytes has BLAKE2b instead.  A window's hash joins those of its two halves, again mixed, so no sum or product
 of words makes two windows meet.  There are two lanes with different constants: one gives 64 bits, for filters and
-shingles of a pair of documents; both together 128 bits, which stand for equality in a whole corpus: 10**13 different windows share
-one with probability about 10**-13.
+for shingles of a pair of documents; more bits, for equality in a whole corpus, come from both.
 """
 
 from __future__ import annotations
