@@ -2,11 +2,12 @@
 
 A normalised text is cut where its own content says so: after a full stop, line end or similar once a chunk has
 ``MIN_CHUNK`` characters, and at ``MAX_CHUNK`` at the latest.  Equal texts get equal chunks.  Chunks travel as
-(64-bit id, SHA-256); an id is verified when every chunk that has it has one digest and one length, else its
-digest stands in for it.  A document becomes its recipe, the ordered list of chunk identifiers, and documents
-are equal when their recipes are.  The text itself is read once and never shuffled.
+(64-bit id, SHA-256); an id is verified when every chunk that has it has one digest, else its digest stands in for it.  A document becomes its recipe, the ordered list of chunk identifiers, and documents
+are equal when their recipes are.  The text itself is read once and never shuffled.  The few recipes that have more than
+1 / HOT_SHARE of all rows each are broadcast to their rows, so no task gets all rows of a hot one.
 
-Null counts as the empty text, whose recipe is the empty list.  Repeated rows (same doc_id) count one by one.
+Null counts as the empty text, whose recipe is the empty list.  Repeated rows (same doc_id) count one by one.  Other
+columns are not read; an empty table gives no rows; a very long text is a long recipe.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, documents, materialize
 
-MIN_CHUNK, MAX_CHUNK = 1024, 8192
+MIN_CHUNK, MAX_CHUNK, HOT_SHARE = 1024, 8192, 200
 #: A chunk ends at the first boundary character after MIN_CHUNK characters.
 CHUNK = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK - 1}}}?[.!?\n]|.{{1,{MAX_CHUNK}}}"
 
@@ -61,9 +62,11 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """
     own = recipes(docs, key, text)
     groups = own.groupBy("recipe").agg(F.max(key).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return own.join(groups, "recipe").select(
-        key, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    groups = materialize(groups, "groups")
+    is_hot = F.col("group_size") * HOT_SHARE > own.count()
+    hot, rest = F.broadcast(groups.where(is_hot)), groups.where(~is_hot)  # fewer than HOT_SHARE hot ones
+    joined = own.join(hot, "recipe").unionByName(own.join(hot.select("recipe"), "recipe", "left_anti").join(rest, "recipe"))
+    return joined.select(key, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def op7_exact_dedup(spark, sf_dir):
