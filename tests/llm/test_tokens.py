@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from sparkjson.llm import bpe
 from sparkjson.llm.packing import pack, pack_documents, plan
-from sparkjson.llm.token_files import FrameReader, frame_file, token_files
+from sparkjson.llm.token_files import FrameReader, FrameWriter, fetch_documents, token_files, write_token_files
 from sparkjson.llm.tokens import Encoder
 
 WORDS = P.path("word_bpe_49k.json")
@@ -33,21 +33,62 @@ def test_encoder_equals_the_library():
 
 def test_token_files_against_the_library(spark):
     t, at, want = library(), 0, []
-    docs = sorted(((r[0], r[1] or "") for r in rows() if r[0] != 500), key=lambda x: x[0])
+    docs = sorted([(r[0], r[1] or "") for r in rows()] + [(None, "no id " * 30)], key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     for i, text in docs:
         ids = np.array(t.encode(text, add_special_tokens=False).ids + [2], "<u4")
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
-    got = token_files(frame(spark).where("doc_id <> 500"), WORDS, 2).collect()
-    assert sorted(map(tuple, got)) == want
+    got = token_files(frame(spark, with_null_id=True), WORDS, 2).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     assert token_files(empty(spark), WORDS, 2).collect() == []
 
 
+def test_fetch_reads_only_what_is_asked_for(spark, tmp_path):
+    files = write_token_files(frame(spark, with_null_id=True), str(tmp_path), WORDS, 2, partitions=3).collect()
+    assert len(files) == 3 and sum(f["nulls"] for f in files) == 1
+    t, want = library(), Counter()
+    for i, text in [(r[0], r[1]) for r in rows()] + [(None, "no id " * 30)]:
+        if i in (1, 120, 500, None):
+            want[(i, tuple(t.encode(text or "", add_special_tokens=False).ids + [2]))] += 1
+    asked = spark.createDataFrame([(1,), (120,), (500,), (120,), (999,), (-5,), (None,)], "k long")
+    got = fetch_documents(asked, str(tmp_path), files).collect()
+    assert Counter((r.key, tuple(r.ids)) for r in got) == want
+    assert fetch_documents(asked, str(tmp_path), []).collect() == []
+
+
+class Counting(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.taken += len(out)
+        return out
+
+
+def frames_of(keys, ids, width):
+    out = io.BytesIO()
+    writer = FrameWriter(out, width)
+    for k, x in zip(keys, ids, strict=True):
+        writer.add(k, x)
+    writer.end()
+    return out.getvalue()
+
+
+def test_a_reader_fetches_the_tail_and_the_wanted_frames():
+    rng = np.random.default_rng(0)
+    raw = frames_of(range(500), [rng.integers(0, 60000, 400, dtype=np.uint16) for _ in range(500)], 2)
+    source = Counting(raw)
+    reader = FrameReader(source)
+    (k,) = reader.places(123)
+    assert len(reader.ids(k)) == 400 and source.taken < len(raw) / 20
+
+
 def test_frames_are_independent_and_checked():
     ids = [np.array(x, np.uint16) for x in ([1, 2, 3], [], [65535] * 1000)]
-    raw = b"".join(frame_file([5, 6, 9], ids, 2))
+    raw = frames_of([None, 6, 9], ids, 2)
     reader = FrameReader(io.BytesIO(raw))
-    assert reader.keys.tolist() == [5, 6, 9] and reader.ids(2).tolist() == [65535] * 1000 and reader.ids(1).tolist() == []
+    assert reader.nulls == 1 and reader.keys[1:].tolist() == [6, 9] and reader.ids(2).tolist() == [65535] * 1000 and reader.ids(1).tolist() == []
+    assert [list(reader.places(k)) for k in (None, 6, 7, 9)] == [[0], [1], [], [2]]
     import zstandard
 
     assert zstandard.ZstdDecompressor().decompress(raw[: reader.table[0][0]], max_output_size=6) == ids[0].tobytes()
