@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +13,7 @@ from .operators.metrics import run_summary, structure_totals
 from .operators.policy import apply_policy, error_report, resilient_minify
 from .operators.tokens import array_chunks, framed, token_rows
 from .plans import Engine, custom, filtered, minified, validated
+from .scratch import scratch_path
 from .streaming import document_stream, run_available
 
 
@@ -23,12 +21,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors share, or a local one where none is named (as in tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="json-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 #: By o_orderkey % 6: two valid documents, then four broken ones.
 _MIXED = """CASE pmod(o_orderkey, 6)
  WHEN 0 THEN concat('{ "id" : ', o_orderkey, ' , "p" : "', o_orderpriority, '" }')
@@ -203,7 +195,7 @@ def summary(spark, sf_dir):
 
 def streamed(spark, sf_dir):
     """Lines staged as files, minified by a stream, read back."""
-    folder = _scratch(spark, "stream")
+    folder = scratch_path(spark, "stream")
     _table(spark, sf_dir, "events", "props").select(F.col("props").alias("value")).write.text(f"{folder}/in")
     run_available(document_stream(spark, f"{folder}/in"), Engine([minified()]), f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy(F.col("json").alias("minified")).agg(F.count(F.lit(1)).alias("n"))
