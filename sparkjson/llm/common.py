@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_path
+
 #: Word separators of the contracts: space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
-_local_scratch: list[str] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a local one only if it is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not _local_scratch:
-        _local_scratch.append("file://" + tempfile.mkdtemp(prefix="llm-scratch-"))
-    return _local_scratch[0]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
