@@ -15,7 +15,7 @@ from sparkjson.llm.dedup import exact_dedup
 from sparkjson.llm.langid import add_language, fit
 from sparkjson.llm.ngram_join import ngram_components
 from sparkjson.llm.packing import pack_documents
-from sparkjson.llm.pii import pseudonymize
+from sparkjson.llm.pii import key_from, pseudonymize, store_key
 
 #: Near copies: shingles of five words, Jaccard of 0.8 or more.
 NGRAM, SIMILAR = 5, (80, 100)
@@ -30,8 +30,8 @@ def _only(docs: DataFrame, kept: DataFrame, digest: Column) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language can be found go; a missing label is filled in."""
-    known = add_language(docs, fit(docs)).where("lang_pred <> 'und'")
-    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    known = add_language(docs, fit(docs), into=("__lang", "__score")).where("__lang <> 'und'")
+    return known.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms; n_chars follows the new text."""
-    changed = pseudonymize(docs, PSEUDONYM_KEY).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    changed = pseudonymize(docs, key_from(spark, store_key(spark, PSEUDONYM_KEY))).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return changed.select(*docs.columns)
 
 
