@@ -8,8 +8,9 @@ in place.  So no text is shuffled, and what travels to the tasks does not grow w
 
 Decoding joins the pieces of the ids, as bytes.
 
-Null text: empty, no ids.  Equal rows get equal results; a text that is nothing but white space is one or two words.
-The fold is quadratic in the length of a single word without any break.  Other columns are not read.
+Null text: empty, no ids.  Equal rows get equal results, rows without an id like any other; an empty table gives no rows;
+a text that is nothing but white space is one or two words.  The fold is quadratic in the length of a single word without
+any break.  Other columns are carried along and not read; one named ``ids`` is replaced.
 """
 
 from __future__ import annotations

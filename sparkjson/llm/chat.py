@@ -4,8 +4,9 @@ Turns of a conversation are ordered by (turn, role, text); the automaton folds o
 inside texts are escaped reversibly, so that no text can forge a turn and the formatted string parses back.
 
 Null text or role: empty.  Null conv_id is a conversation of its own.  Repeated rows are turns of their own.  An
-empty conversation does not exist (there are no rows for it).  A conversation is one output row, so it has to fit
-in a task, as any document has to; nothing larger than a conversation is gathered.
+empty conversation does not exist (there are no rows for it); an empty table gives no rows.  A conversation is one output
+row, so even a very long one has to fit in a task, as any document has to; nothing larger than a conversation is gathered.
+Other columns are not read.
 """
 
 from __future__ import annotations

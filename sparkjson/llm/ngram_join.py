@@ -34,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import batches_of, documents, materialize
 from .components import components
 from .wordhash import Bitmap, Words, bitmap_of, mix, steps
 
 LOW, FREQUENT, HOT, BLOCK_TOKENS, BLOCK_SETS = 0.3, 16, 32, 500_000, 2048
+#: Rows of an Arrow batch: texts, or pairs with two whole sets.
+BATCH_ROWS = 512
 _Q = 0xC2B2AE3D27D4EB4F
 
 
@@ -305,8 +307,13 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     Beside them text_hash (xxhash64 of the text) and group_id, which differs even where two components have the same
     smallest key; it is null for rows that are linked with nothing by rule (no set or no key).  Linked: den * intersection >= num * union.
     """
-    spark = docs.sparkSession
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return _components(own, key, ngram, num, den)
+
+
+def _components(own: DataFrame, key: str, ngram: int, num: int, den: int) -> DataFrame:
+    spark = own.sparkSession
     sizes = materialize(set_sizes(own, ngram), "sizes")
     classes = sizes.where("n > 0 AND key IS NOT NULL").groupBy("fp", "fq").agg(F.min("key").alias("class_id"), F.max("n").alias("n"))
     classes = materialize(classes, "classes")

@@ -10,8 +10,9 @@ The plan is a list of runs (number of sequences, lengths in one of them).  A pie
 among the pieces of its length; ranks come from counts by (length, hash bucket), so that a length which a third of
 all pieces share is dealt over many tasks.
 
-Null text: empty, which gives the end id only.  Rows that repeat a doc_id are packed as documents of their own, told
-apart by their digest and order.  An empty table gives no rows.
+Null text: empty, which gives the end id only.  Rows that repeat a doc_id, or have none, are packed as documents of
+their own, told apart by their digest and order.  An empty table gives no rows.  A very long text is cut into pieces of
+``capacity``.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import batches_of, documents, materialize
 from .tokens import encoder
 
+BATCH_ROWS = 512
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -180,8 +182,13 @@ def plan_table(runs: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int,
     return out
 
 
-def ranked(rows: DataFrame, buckets: int = 1024) -> DataFrame:
+#: Rows of one length and bucket, on the average, if all rows had one length.
+BUCKET_ROWS = 20_000
+
+
+def ranked(rows: DataFrame, total: int) -> DataFrame:
     """``rows`` with ``rank``, from 0, among the rows of the same length, without a task that sees a whole length."""
+    buckets = max(16, total // BUCKET_ROWS)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     sizes = rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -191,17 +198,21 @@ def ranked(rows: DataFrame, buckets: int = 1024) -> DataFrame:
     return numbered.join(first, ["length", "bucket"]).withColumn("rank", F.col("first") + F.col("inside")).drop("bucket", "first", "inside")
 
 
+#: Rows of the plan that are broadcast, 40 bytes each.
+MOST_BROADCAST = 1_000_000
+
+
 def pack(rows: DataFrame, capacity: int) -> DataFrame:
     """``rows`` (PIECES) with sequence_id and offset; at most ``capacity`` in a sequence, no gaps from 0."""
     spark = rows.sparkSession
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = plan_table(plan(counts, capacity))
-    # Places are bounded by capacity and the number of runs, not by documents; Spark broadcasts them if they are small.
+    # Places are bounded by the capacity and the number of runs, not by documents: they grow with the lengths that occur.
     places = spark.createDataFrame(table, "length long, from_rank long, ranks long, sequence long, each long")
     at = (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("from_rank") + F.col("ranks"))
     seated = (
-        ranked(rows)
-        .join(F.broadcast(places).withColumnRenamed("length", "of"), (F.col("length") == F.col("of")) & at)
+        ranked(rows, sum(counts.values()))
+        .join((F.broadcast(places) if len(table) <= MOST_BROADCAST else places).withColumnRenamed("length", "of"), (F.col("length") == F.col("of")) & at)
         .withColumn("sequence_id", F.col("sequence") + F.floor((F.col("rank") - F.col("from_rank")) / F.col("each")).cast("long"))
     )
     order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "rank").rowsBetween(Window.unboundedPreceding, -1)
@@ -209,7 +220,9 @@ def pack(rows: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
-    return pack(materialize(pieces(docs, vocabulary, end_id, capacity), "pieces"), capacity)
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        cut = materialize(pieces(docs, vocabulary, end_id, capacity), "pieces")
+    return pack(cut, capacity)
 
 
 def op4_best_fit_packing(spark, sf_dir):

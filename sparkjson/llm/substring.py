@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import batches_of, documents, materialize
 from .wordhash import bitmap_of, mix, steps
 
 WINDOW, ANCHOR, PERIOD, COVER = 20, 8, 13, (0, 1, 3, 9)
@@ -142,7 +142,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     own = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     several = own.sparkSession.sparkContext.broadcast(several_texts(own))
-    repeats = materialize(repeated_windows(own, several), "repeats")
+    with batches_of(own.sparkSession, ROWS):
+        repeats = materialize(repeated_windows(own, several), "repeats")
     touched = own.sparkSession.sparkContext.broadcast(bitmap_of(repeats.select(F.xxhash64("key").alias("h")), "touched"))
     hashed = own.select("key", "text", F.xxhash64("key"), F.xxhash64("text"))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, scratch_path
+from .common import batches_of, documents, scratch_path
 from .tokens import encoder
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -217,7 +217,8 @@ def fetch_documents(keys: DataFrame, folder: str, files: list) -> DataFrame:
 def token_files(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """Write all documents, then read them back.  The driver sees one row for each file, never one for each document."""
     folder = folder or scratch_path(docs.sparkSession, "token-files")
-    files = in_order(write_token_files(docs, folder, vocabulary, end_id, key, text).collect())
+    with batches_of(docs.sparkSession, ROWS):
+        files = in_order(write_token_files(docs, folder, vocabulary, end_id, key, text).collect())
     before = accumulate((f["tokens"] for f in files), initial=0)
     out = read_token_files(docs.sparkSession, folder, [(f["file"], n) for f, n in zip(files, before, strict=False)])
     return out.withColumnRenamed("doc_id", key) if key != "doc_id" else out
