@@ -20,8 +20,6 @@ from.  Very long texts are many blocks.  Extra columns are carried along by ``ad
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -225,18 +223,17 @@ def add_language(docs: DataFrame, model: Model, text: str = "text", carry: list[
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in (docs.columns if carry is None else carry) if c not in into]
 
-    read = names if text in names else [*names, text]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), STEP_ROWS):
-                some = batch.slice(at, STEP_ROWS)
-                found, scores = shared.value.predict(some.column(read.index(text)).to_pylist())
-                kept = [some.column(k) for k in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*names, *into])
-
-    kinds = docs.select(*names).schema.add(into[0], "string").add(into[1], "double")
-    return docs.select(*read).mapInArrow(run, kinds)
+    @F.arrow_udf(f"{into[0]} string, {into[1]} double")
+    def predict(texts: pa.Array) -> pa.Array:
+        found, scores = [], []
+        for at in range(0, len(texts), STEP_ROWS):
+            some = shared.value.predict(texts.slice(at, STEP_ROWS).to_pylist())
+            found += some[0]
+            scores += some[1]
+        return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(scores, pa.float64())], list(into))
+
+    # Only the texts travel to Python and only the results travel back.
+    return docs.select(*names, predict(text).alias("__found")).select(*names, "__found.*")
 
 
 def op5_language_id(spark, sf_dir):
