@@ -232,8 +232,9 @@ def add_language(docs: DataFrame, model: Model, text: str = "text", carry: list[
             scores += some[1]
         return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(scores, pa.float64())], list(into))
 
-    # Only the texts travel to Python and only the results travel back.
-    return docs.select(*names, predict(text).alias("__found")).select(*names, "__found.*")
+    # Only the texts travel to Python and only the results travel back.  Called nondeterministic so that a filter on the
+    # result does not predict once more.
+    return docs.select(*names, predict.asNondeterministic()(text).alias("__found")).select(*names, "__found.*")
 
 
 def op5_language_id(spark, sf_dir):
