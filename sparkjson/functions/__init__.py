@@ -30,11 +30,11 @@ from .scalars import (
     severity_label,
     type_name,
 )
-from .validity import balanced, has_duplicate_keys, is_valid, repair_escapes, validate
+from .validity import balanced, complete_prefix, has_duplicate_keys, is_utf8, is_valid, repair_escapes, validate
 
 __all__ = [
-    "balanced", "characteristics", "classify_char", "comment_free", "compression_ratio", "context_snippet", "error_message",
-    "estimate_size", "format_bytes", "format_duration", "glob_to_regex", "has_duplicate_keys", "is_blank", "is_minified",
+    "balanced", "characteristics", "classify_char", "comment_free", "complete_prefix", "compression_ratio", "context_snippet", "error_message",
+    "estimate_size", "format_bytes", "format_duration", "glob_to_regex", "has_duplicate_keys", "is_blank", "is_minified", "is_utf8",
     "is_valid", "json_depth", "json_string_value", "kinds", "lexemes", "line_column", "memory_estimate", "minify", "quote_json",
     "reduction_percent", "repair_escapes", "semantic_equals", "severity_label", "skip_whitespace", "structure_counts",
     "type_name", "validate",

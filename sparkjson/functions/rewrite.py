@@ -1,7 +1,8 @@
 """Rewrites that follow a document's nesting: field filter, pretty print, key sort, custom token transforms.
 
 Number spellings, duplicate keys and escapes survive, which no Spark type allows, so these few walk the lexemes in
-Arrow-batched functions; each row is a document, and rows are independent.  Invalid documents and nulls give null.
+Arrow-batched functions; each row is a document, and rows are independent.  Each is one pass with a stack, so depth costs
+nothing.  Invalid documents and nulls give null.
 """
 
 from __future__ import annotations
@@ -29,18 +30,14 @@ def _on_valid(c: Column, rewrite: Callable[[list[str]], str]) -> Column:
     return F.when(is_blank(c), F.lit("")).otherwise(run(F.when(is_valid(c), c)))
 
 
-def _members(lexemes: list[str], at: int) -> tuple[list[tuple[str | None, int, int]], int]:
-    """(key, first, last) of each member of the container that opens at ``at``, and the place of its end."""
-    out, k, is_object = [], at + 1, lexemes[at] == "{"
-    while lexemes[k] not in "}]":
-        key, first, depth = (lexemes[k], k + 2, 0) if is_object else (None, k, 0)
-        k = first
-        while depth or lexemes[k] not in ",}]":
-            depth += (lexemes[k] in "{[") - (lexemes[k] in "}]")
-            k += 1
-        out.append((key, first, k))
-        k += lexemes[k] == ","
-    return out, k
+def _end(lexemes: list[str], at: int) -> int:
+    """The place behind the value that begins at ``at``."""
+    depth = 0
+    while True:
+        depth += (lexemes[at] in "{[") - (lexemes[at] in "}]")
+        at += 1
+        if not depth:
+            return at
 
 
 class _Rules:
@@ -75,37 +72,75 @@ def filter_fields(c: Column, include: list[str] | None = None, exclude: list[str
     """The minified document with only the wanted fields; arrays add no segment to a path; scalar roots stay."""
     rules = _Rules(include, exclude, case_sensitive)
 
-    def value(lexemes: list[str], first: int, last: int, path: str, whole: bool) -> str:
-        if lexemes[first] not in "{[":
-            return "".join(lexemes[first:last])
-        out = []
-        for key, a, b in _members(lexemes, first)[0]:
-            if key is None:
-                out.append(value(lexemes, a, b, path, whole))
-                continue
-            name = f"{path}.{key[1:-1]}" if path else key[1:-1]
-            stays, deep = rules.keeps(name)
-            leaf = lexemes[a] not in "{["
-            if stays and (deep or not leaf):
-                out.append(f"{key}:{value(lexemes, a, b, name, deep)}")
-        return lexemes[first] + ",".join(out) + ("}" if lexemes[first] == "{" else "]")
+    def run(lexemes: list[str]) -> str:
+        out: list[str] = []
+        stack: list[list] = []  # of open containers: is object, path, whole, members written, has a match, where a member of an object began
+        at, path, whole, began = 0, "", False, None
+        while at < len(lexemes):
+            x, top = lexemes[at], stack[-1] if stack else None
+            if x == ",":
+                at += 1
+            elif x in "}]":
+                _, _, _, _, match, start = stack.pop()
+                out.append(x)
+                at += 1
+                if stack and start is not None and not match:  # kept for what might be inside, but nothing was
+                    del out[start:]
+                    stack[-1][3] -= 1
+                elif stack:
+                    stack[-1][4] |= match
+            elif top and top[0] and began is None:
+                name = f"{top[1]}.{x[1:-1]}" if top[1] else x[1:-1]
+                stays, deep = rules.keeps(name)
+                leaf = lexemes[at + 2] not in "{["
+                if not stays or leaf and not deep:
+                    at = _end(lexemes, at + 2)
+                    continue
+                began, path, whole = len(out), name, deep
+                out += [","] * (top[3] > 0) + [x, ":"]
+                at += 2
+            else:
+                if top and not top[0]:
+                    path, whole = top[1], top[2]
+                    out += [","] * (top[3] > 0)
+                if top:
+                    top[3] += 1
+                    top[4] |= whole
+                out.append(x)
+                if x in "{[":
+                    stack.append([x == "{", path, whole, 0, whole, began])
+                began = None
+                at += 1
+        return "".join(out)
 
-    return _on_valid(c, lambda x: value(x, 0, len(x), "", False))
+    return _on_valid(c, run)
 
 
 def pretty(c: Column, indent: int = 2, tabs: bool = False, sort_keys: bool = False, ascii_only: bool = False, trailing_comma: bool = False) -> Column:
     """Indented layout with ``": "``; empty containers stay closed, strings stay as they are, no final newline."""
     step = "\t" if tabs else " " * indent
 
-    def value(lexemes: list[str], first: int, last: int, pad: str) -> str:
-        if lexemes[first] not in "{[" or last - first == 2:
-            return "".join(lexemes[first:last])
-        members, inner = _members(lexemes, first)[0], pad + step
-        if sort_keys and lexemes[first] == "{":
-            members.sort(key=lambda m: m[0])
-        rows = [inner + (f"{key}: " if key else "") + value(lexemes, a, b, inner) for key, a, b in members]
-        comma = "," if trailing_comma and len(rows) > 1 else ""
-        return lexemes[first] + "\n" + ",\n".join(rows) + comma + "\n" + pad + ("}" if lexemes[first] == "{" else "]")
+    def run(lexemes: list[str]) -> str:
+        out, members, at = [], [], 0
+        while at < len(lexemes):
+            x = lexemes[at]
+            pad = "\n" + step * len(members)
+            if x in "{[" and lexemes[at + 1] in "}]":
+                out.append(x + lexemes[at + 1])
+                at += 1
+            elif x in "{[":
+                members.append(1)
+                out.append(f"{x}{pad}{step}")
+            elif x in "}]":
+                comma = "," if members.pop() > 1 and trailing_comma else ""
+                out.append(comma + "\n" + step * len(members) + x)
+            elif x == ",":
+                members[-1] += 1
+                out.append("," + pad)
+            else:
+                out.append(": " if x == ":" else x)
+            at += 1
+        return escaped("".join(out))
 
     def escaped(text: str) -> str:
         if not ascii_only or text.isascii():
@@ -113,22 +148,43 @@ def pretty(c: Column, indent: int = 2, tabs: bool = False, sort_keys: bool = Fal
         units = text.encode("utf-16-be")
         return "".join(chr(u) if u < 128 else f"\\u{u:04x}" for u in (int.from_bytes(units[k : k + 2], "big") for k in range(0, len(units), 2)))
 
-    return _on_valid(c, lambda x: escaped(value(x, 0, len(x), "")))
+    return _on_valid(c, lambda x: run(_sorted(x) if sort_keys else x))
+
+
+def _sorted(lexemes: list[str]) -> list[str]:
+    """The lexemes with every object's members in the order of their keys."""
+    done: list[list[str]] = []  # of the last container that closed
+    stack: list[tuple[str, list]] = []
+    key: str | None = None
+    for at, x in enumerate(lexemes):
+        if x in "{[":
+            stack.append((x, [], key))
+            key = None
+            continue
+        if x in "}]":
+            kind, members, key = stack.pop()
+            if kind == "{":
+                members.sort(key=lambda m: m[0])
+            value = [kind]
+            for k, (name, body) in enumerate(members):
+                value += [","] * (k > 0) + ([name, ":"] if kind == "{" else []) + body
+            value.append(x)
+        elif x in ":,":
+            continue
+        elif stack and stack[-1][0] == "{" and key is None and lexemes[at + 1] == ":":
+            key = x
+            continue
+        else:
+            value = [x]
+        if stack:
+            stack[-1][1].append((key, value))
+        done, key = value, None
+    return done
 
 
 def sort_keys(c: Column) -> Column:
     """Minified, with the members of every object in the order of their keys' spelling; equal keys keep their order."""
-
-    def value(lexemes: list[str], first: int, last: int) -> str:
-        if lexemes[first] not in "{[":
-            return "".join(lexemes[first:last])
-        members = _members(lexemes, first)[0]
-        if lexemes[first] == "{":
-            members.sort(key=lambda m: m[0])
-        body = ",".join((f"{key}:" if key else "") + value(lexemes, a, b) for key, a, b in members)
-        return lexemes[first] + body + ("}" if lexemes[first] == "{" else "]")
-
-    return _on_valid(c, lambda x: value(x, 0, len(x)))
+    return _on_valid(c, lambda x: "".join(_sorted(x)))
 
 
 def map_lexemes(c: Column, change: Callable[[str], str | None]) -> Column:
@@ -157,7 +213,11 @@ def split_array(c: Column, size: int = 200) -> Column:
             x = _LEXEME.findall(text)
             if x[0] != "[" or len(x) == 2:
                 return ["".join(x)]
-            items = ["".join(x[a:b]) for _, a, b in _members(x, 0)[0]]
+            items, at = [], 1
+            while x[at] != "]":
+                end = _end(x, at)
+                items.append("".join(x[at:end]))
+                at = end + (x[end] == ",")
             return ["[" + ",".join(items[k : k + size]) + "]" for k in range(0, len(items), size)]
 
         return texts.map(one)

@@ -8,12 +8,16 @@ the one error "Invalid JSON".
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalars import quote_json
+from .validity import is_valid
+
 ERROR = "array<struct<message:string,instance_path:string,keyword:string>>"
 #: What each failing keyword says.
 MESSAGES = {
@@ -125,9 +129,12 @@ class _Compiler:
                 add(keyword, ~is_number | ok(schema[keyword]))
         for keyword, values in (("enum", schema.get("enum")), ("const", [schema["const"]] if "const" in schema else None)):
             if values is not None:
-                import json
-
-                add(keyword, F.to_json(v).isin(*[json.dumps(x, separators=(",", ":"), ensure_ascii=False, sort_keys=True) for x in values]))
+                plain = [x for x in values if isinstance(x, bool) or not isinstance(x, (int, float))]
+                numbers = [float(x) for x in values if not isinstance(x, bool) and isinstance(x, (int, float))]
+                tests = [is_number & number.isin(*numbers)] if numbers else []
+                if plain:
+                    tests.append(F.to_json(v).isin(*[json.dumps(x, separators=(",", ":"), ensure_ascii=False, sort_keys=True) for x in plain]))
+                add(keyword, _any(tests))
         items = F.try_variant_get(v, "$", "array<variant>")
         n = F.size(items)
         for keyword, ok in {"minItems": lambda x: n >= x, "maxItems": lambda x: n <= x}.items():
@@ -146,7 +153,7 @@ class _Compiler:
         for keyword, ok in {
             "minProperties": lambda x: F.size(keys) >= x,
             "maxProperties": lambda x: F.size(keys) <= x,
-            "propertyNames": lambda x: F.forall(keys, lambda k: self.passes(F.to_variant_object(k), x)),
+            "propertyNames": lambda x: F.forall(keys, lambda k: self.passes(F.try_parse_json(quote_json(k)), x)),
         }.items():
             if keyword in schema:
                 add(keyword, ~is_object | ok(schema[keyword]))
@@ -192,7 +199,7 @@ def _any(conditions: list[Column]) -> Column:
 
 def schema_errors(c: Column, schema: dict, *, max_errors: int = 100, fail_fast: bool = False, length_unit: str = "chars", validate_formats: bool = True) -> Column:
     """Errors of each text, in the schema's order, ``max_errors`` (or, with ``fail_fast``, one) at most; null for null."""
-    parsed = F.try_parse_json(c)
+    parsed = F.try_parse_json(F.when(is_valid(c), c))  # the parser alone would pass over data behind the value
 
     def of(v: Column) -> Column:
         none = F.lit(None).cast(ERROR[6:-1])

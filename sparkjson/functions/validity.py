@@ -109,6 +109,30 @@ def has_duplicate_keys(c: Column) -> Column:
 
 
 def repair_escapes(c: Column) -> Column:
-    """Inside strings: a broken ``\\u`` escape becomes ``\\uFFFD``, any other unknown escape ``?``."""
-    unicode = F.regexp_replace(c, r"\G((?:[^\\]|\\[^u]|\\u[0-9A-Fa-f]{4})*+)\\u[0-9A-Fa-f]{0,3}", r"$1\\uFFFD")
-    return F.regexp_replace(unicode, r'(?s)\G((?:[^\\]|\\["\\/bfnrtu])*+)\\[^"\\/bfnrtu]', "$1?")
+    """Inside strings: a broken ``\\u`` escape becomes ``\\uFFFD``, any other unknown escape ``?``.  All else stays."""
+
+    def mended(x: Column) -> Column:
+        unicode = F.regexp_replace(x, r"(?s)\G((?:[^\\]|\\[^u]|\\u[0-9A-Fa-f]{4})*+)\\u[0-9A-Fa-f]{0,3}", r"$1\\uFFFD")
+        return F.regexp_replace(unicode, r'(?s)\G((?:[^\\]|\\["\\/bfnrtu])*+)\\[^"\\/bfnrtu]', "$1?")
+
+    pieces = F.regexp_extract_all(c, F.lit(rf'(?s){STRING}|[^"]++|"'), F.lit(0))
+    whole = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(r'^(?s)".*\\'), mended(x)).otherwise(x)), "")
+    return F.when(F.contains(c, F.lit("\\")), whole).otherwise(c)
+
+
+def is_utf8(binary: Column) -> Column:
+    """Whether bytes are well-formed UTF-8."""
+    return F.is_valid_utf8(binary.cast("string"))
+
+
+def complete_prefix(c: Column) -> Column:
+    """The longest beginning of a text that ends outside strings with all containers closed; empty if there is none."""
+    closed = F.regexp_extract_all(c, F.lit(rf'(?s){STRING}|[^"]'), F.lit(0))
+
+    def step(s: Column, x: Column) -> Column:
+        depth = s["depth"] + F.when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1).otherwise(0)
+        at = s["at"] + F.length(x)
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when((depth == 0) & ~x.rlike(BLANK), at).otherwise(s["best"]).alias("best"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("best"))
+    return F.when(c.isNotNull(), F.left(c, F.aggregate(closed, start, step, lambda s: s["best"])))

@@ -2,45 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.lexical import STRING, comment_free, lexemes, structure_counts
-from ..functions.validity import is_valid, validate
-from .tokens import token_rows
+from ..functions.lexical import STRING, comment_free, is_blank, lexemes, structure_counts
+from ..functions.scalars import context_snippet
+from ..functions.validity import has_duplicate_keys, is_valid, validate
+from .tokens import duplicate_keys
+
+__all__ = ["container_root", "duplicate_keys", "findings", "lenient_valid"]
 
 #: From how many parts on a document is called large.
 LARGE = {"strings": 10_000, "objects": 1_000, "arrays": 1_000}
-FINDING = "array<struct<severity:int,code:string,detail:string>>"
 
 
-def duplicate_keys(df: DataFrame, key: str, column: str) -> DataFrame:
-    """key, object (position of its opening lexeme), name, n, line: keys that one object spells more than once.
+def findings(c: Column, max_depth: int = 1000, long_number: int = 100) -> Column:
+    """array<struct(severity, code, detail, context)>: 2 the first error, 1 warnings; empty if there is nothing to say.
 
-    A key belongs to the last opening before it that is one level out, which a window finds; only tokens of one
-    document meet in a task.
+    ``context``: what stands around the error.  A key that the root object repeats is a warning; ``duplicate_keys`` finds all.
     """
-    tokens = token_rows(df, key, column)
-    order = Window.partitionBy(key).orderBy("pos")
-    opens = F.col("type").isin("{", "[")
-    level = F.col("depth") + F.when(opens, 1).otherwise(0)
-    marked = tokens.select("*", level.alias("level"), (F.lead("type").over(order) == ":").alias("is_key"))
-    owner = F.last(F.when(F.col("type").isin("{", "["), F.col("pos")), ignorenulls=True).over(Window.partitionBy(key, "level").orderBy("pos"))
-    keys = marked.withColumn("object", owner).where(F.col("is_key") & (F.col("type") == "string"))
-    found = keys.groupBy(key, "object", F.col("value").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.max("line").alias("line"))
-    return found.where("n > 1")
-
-
-def findings(c: Column, max_depth: int = 1000, long_number: int = 100) -> Column:
-    """array<struct(severity, code, detail)>: 2 the first error, 1 warnings; empty if there is nothing to say."""
     v, s = validate(c, max_depth), structure_counts(c)
-    finding = lambda when, severity, code, detail: F.when(when, F.struct(F.lit(severity).alias("severity"), code.alias("code"), detail.cast("string").alias("detail")))
+    finding = lambda when, severity, code, detail, context=None: F.when(
+        when, F.struct(F.lit(severity).alias("severity"), code.alias("code"), detail.cast("string").alias("detail"), (F.lit(None).cast("string") if context is None else context).alias("context"))
+    )
     numbers = F.filter(lexemes(c), lambda x: ~F.startswith(x, F.lit('"')) & (F.length(x) > long_number))
 
     def of(x: Column) -> Column:
-        rows = [finding(~x["v"]["valid"], 2, x["v"]["error"], x["v"]["offset"])]
+        rows = [finding(~x["v"]["valid"], 2, x["v"]["error"], x["v"]["offset"], context_snippet(c, x["v"]["offset"]))]
         rows += [finding(x["s"][name] > most, 1, F.lit(f"Many {name}"), x["s"][name]) for name, most in LARGE.items()]
         rows.append(finding(F.size(numbers) > 0, 1, F.lit("Long number"), F.size(numbers)))
+        rows.append(finding(is_blank(c), 1, F.lit("Empty document"), F.octet_length(c)))
+        rows.append(finding(has_duplicate_keys(c), 1, F.lit("Duplicate key"), F.lit("/")))
         return F.filter(F.array(*rows), lambda r: r.isNotNull())
 
     return F.when(c.isNotNull(), F.transform(F.array(F.struct(v.alias("v"), s.alias("s"))), of)[0])

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from . import functions as J
 from .functions.rewrite import filter_fields, map_lexemes, pretty, sort_keys
-from .functions.schema import object_schema, schema_errors
+from .functions.schema import conforms, object_schema, schema_errors
 from .operators.diagnostics import container_root, duplicate_keys, findings, lenient_valid
 from .operators.metrics import run_summary, structure_totals
 from .operators.policy import apply_policy, error_report, resilient_minify
-from .operators.tokens import array_chunks, framed, token_rows
+from .operators.tokens import array_chunks, array_rows, framed, token_rows
 from .plans import Engine, custom, filtered, minified, validated
 from .scratch import scratch_path
 from .streaming import document_stream, run_available
@@ -21,6 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number and a name for each customer."""
+    return _table(spark, sf_dir, "customer", "c_custkey", "c_name").toDF("n_nationkey", "n_name")
+
+
 #: By o_orderkey % 6: two valid documents, then four broken ones.
 _MIXED = """CASE pmod(o_orderkey, 6)
  WHEN 0 THEN concat('{ "id" : ', o_orderkey, ' , "p" : "', o_orderpriority, '" }')
@@ -88,12 +93,12 @@ def filter_glob(spark, sf_dir):
 
 
 def pretty_print(spark, sf_dir):
-    rows = _table(spark, sf_dir, "nation", "n_nationkey", "n_name").select("n_nationkey", F.expr("""concat('{"k":', n_nationkey, ',"n":["', n_name, '",{}]}')""").alias("j"))
+    rows = _named(spark, sf_dir).select("n_nationkey", F.expr("""concat('{"k":', n_nationkey, ',"n":["', n_name, '",{}]}')""").alias("j"))
     return rows.select("n_nationkey", pretty(F.col("j")).alias("out"))
 
 
 def sorted_keys(spark, sf_dir):
-    rows = _table(spark, sf_dir, "nation", "n_nationkey", "n_name").select("n_nationkey", F.expr("""concat('{"z":1.0, "b": {"y": 2, "x": "', n_name, '"}, "a": -0}')""").alias("j"))
+    rows = _named(spark, sf_dir).select("n_nationkey", F.expr("""concat('{"z":1.0, "b": {"y": 2, "x": "', n_name, '"}, "a": -0}')""").alias("j"))
     return rows.select("n_nationkey", sort_keys(F.col("j")).alias("out"))
 
 
@@ -106,12 +111,12 @@ def split_arrays(spark, sf_dir):
 
 
 def tokens(spark, sf_dir):
-    rows = _table(spark, sf_dir, "nation", "n_nationkey", "n_name").select("n_nationkey", F.expr("""concat('{ "k": ', n_nationkey, ',\n  "n": ["', n_name, '"] }')""").alias("j"))
+    rows = _named(spark, sf_dir).select("n_nationkey", F.expr("""concat('{ "k": ', n_nationkey, ',\n  "n": ["', n_name, '"] }')""").alias("j"))
     return token_rows(rows, "n_nationkey", "j")
 
 
 def frames(spark, sf_dir):
-    rows = _table(spark, sf_dir, "nation", "n_nationkey", "n_name").select("n_nationkey", F.expr("""concat('{"k": ', n_nationkey, '} ["', n_name, '"]\n3 {"cut": ')""").alias("j"))
+    rows = _named(spark, sf_dir).select("n_nationkey", F.expr("""concat('{"k": ', n_nationkey, '} ["', n_name, '"]\n3 {"cut": ')""").alias("j"))
     return framed(rows, "n_nationkey", "j")
 
 
@@ -160,6 +165,44 @@ def schema_pipeline(spark, sf_dir):
     return Engine([validated(_PART), minified(priority=1)]).run(rows, "j").select("p_partkey", F.col("j").alias("out"))
 
 
+#: Schemas for documents {"k", "xs", "t"} with a fourth member in each fourth one and data behind each eleventh.
+_RULES: dict[str, tuple[dict, str]] = {
+    "unique": ({"properties": {"xs": {"uniqueItems": True}}}, "p_size <> p_size % 5 AND p_size <> 3 AND p_size % 5 <> 3"),
+    "min_items": ({"properties": {"xs": {"minItems": 4}}}, "false"),
+    "max_items": ({"properties": {"xs": {"maxItems": 3}}}, "true"),
+    "items": ({"properties": {"xs": {"type": "array", "items": {"type": "integer", "maximum": 40}}}}, "p_size <= 40"),
+    "prefix": ({"properties": {"xs": {"prefixItems": [{"minimum": 10}]}}}, "p_size >= 10"),
+    "any_of": ({"properties": {"k": {"anyOf": [{"maximum": 100}, {"multipleOf": 7}]}}}, "p_partkey <= 100 OR p_partkey % 7 = 0"),
+    "all_of": ({"properties": {"k": {"allOf": [{"minimum": 20}, {"multipleOf": 7}]}}}, "p_partkey >= 20 AND p_partkey % 7 = 0"),
+    "one_of": ({"properties": {"k": {"oneOf": [{"maximum": 100}, {"multipleOf": 7}]}}}, "(p_partkey <= 100) <> (p_partkey % 7 = 0)"),
+    "negated": ({"properties": {"k": {"not": {"exclusiveMinimum": 150}}}}, "p_partkey <= 150"),
+    "branch": ({"properties": {"k": {"if": {"maximum": 100}, "then": {"multipleOf": 2}, "else": {"multipleOf": 3}}}}, "CASE WHEN p_partkey <= 100 THEN p_partkey % 2 = 0 ELSE p_partkey % 3 = 0 END"),
+    "pattern": ({"properties": {"t": {"pattern": "^Brand#1"}}}, "starts_with(p_brand, 'Brand#1')"),
+    "constant": ({"properties": {"k": {"const": 7.0}}}, "p_partkey = 7"),
+    "one_value": ({"properties": {"k": {"enum": ["7", 8.0, 9]}}}, "p_partkey IN (8, 9)"),
+    "closed": ({"properties": {"k": True, "xs": True, "t": True}, "additionalProperties": False}, "p_partkey % 4 <> 0"),
+    "most": ({"maxProperties": 3}, "p_partkey % 4 <> 0"),
+    "least": ({"minProperties": 4}, "p_partkey % 4 = 0"),
+    "names": ({"propertyNames": {"maxLength": 2}}, "p_partkey % 4 <> 0"),
+    "by_name": ({"patternProperties": {"^z": {"type": "string"}, "^k$": {"maximum": 1500}}}, "p_partkey % 4 <> 0 AND p_partkey <= 1500"),
+    "referred": ({"$defs": {"small": {"maximum": 100}}, "properties": {"k": {"$ref": "#/$defs/small"}}}, "p_partkey <= 100"),
+    "kinds": ({"properties": {"k": {"type": ["string", "null"]}, "t": {"type": "string"}}}, "false"),
+}
+
+
+def schema_rules(spark, sf_dir):
+    text = """concat('{"k": ', p_partkey, ', "xs": [', p_size, ', ', p_size % 5, ', 3], "t": "', p_brand, '"', CASE WHEN p_partkey % 4 = 0 THEN ', "zzz": 1}' ELSE '}' END, CASE WHEN p_partkey % 11 = 0 THEN ' x' ELSE '' END)"""
+    rows = _table(spark, sf_dir, "part", "p_partkey", "p_size", "p_brand").select("p_partkey", F.expr(text).alias("j"))
+    return rows.select("p_partkey", *(conforms(F.col("j"), rule).alias(name) for name, (rule, _) in _RULES.items()))
+
+
+def prefixes(spark, sf_dir):
+    """What is complete in documents that were cut, and array elements as rows."""
+    rows = _named(spark, sf_dir).select("n_nationkey", F.expr("""concat('{"a": ["', n_name, '", ', n_nationkey, ']} [1, "]', n_name)""").alias("j"))
+    head = rows.select("n_nationkey", J.complete_prefix(F.col("j")).alias("json"), J.is_utf8(F.col("j").cast("binary")).alias("utf8"))
+    return array_rows(head, "n_nationkey", "json", "a").join(head.select("n_nationkey", "utf8"), "n_nationkey")
+
+
 def schema_formats(spark, sf_dir):
     rows = _table(spark, sf_dir, "customer", "c_custkey").select("c_custkey", F.expr("""CASE pmod(c_custkey, 4) WHEN 0 THEN '"192.168.1.1"' WHEN 1 THEN '"999.999.999.999"' WHEN 2 THEN '"2023-12-25"' ELSE '"user@example.com"' END""").alias("j"))
     ok = lambda f: (F.size(schema_errors(F.col("j"), {"type": "string", "format": f})) == 0).alias(f)
@@ -167,18 +210,18 @@ def schema_formats(spark, sf_dir):
 
 
 def equal_texts(spark, sf_dir):
-    rows = _table(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    rows = _named(spark, sf_dir)
     pair = rows.select("n_nationkey", F.expr("""concat('{"a": ', n_nationkey, ', "b": "', n_name, '"}')""").alias("x"), F.expr("""concat('{"b":"', n_name, '","a":', n_nationkey + n_nationkey % 2, '}')""").alias("y"))
     return pair.select("n_nationkey", J.semantic_equals(F.col("x"), F.col("y")).alias("equal"))
 
 
 def comments(spark, sf_dir):
-    rows = _table(spark, sf_dir, "nation", "n_nationkey", "n_name").select("n_nationkey", F.expr("""concat('{"a": "//', n_name, '", /* x */ "b": 1 } // end')""").alias("j"))
+    rows = _named(spark, sf_dir).select("n_nationkey", F.expr("""concat('{"a": "//', n_name, '", /* x */ "b": 1 } // end')""").alias("j"))
     return rows.select("n_nationkey", J.minify(J.comment_free(F.col("j"))).alias("out"))
 
 
 def duplicates(spark, sf_dir):
-    rows = _table(spark, sf_dir, "nation", "n_nationkey", "n_name").select("n_nationkey", F.expr("""concat('{"a": [{"k": 1, "k": ', n_nationkey, '}], "b": {"a": 0},\n "a": "', n_name, '", "k": 2}')""").alias("j"))
+    rows = _named(spark, sf_dir).select("n_nationkey", F.expr("""concat('{"a": [{"k": 1, "k": ', n_nationkey, '}], "b": {"a": 0},\n "a": "', n_name, '", "k": 2}')""").alias("j"))
     return duplicate_keys(rows, "n_nationkey", "j")
 
 
@@ -228,11 +271,11 @@ QUERIES = {
     "filter_include": (filter_include, """SELECT c_custkey, '{"user":{"name":"' || c_name || '","profile":{"theme":"dark","n":' || c_custkey || '}},"meta":{"created":1}}' AS out FROM customer"""),
     "filter_exclude": (filter_exclude, """SELECT c_custkey, '{"user":{"name":"' || c_name || '","seg":"' || c_mktsegment || '"},"list":[{"id":' || c_custkey || '},{"id":2}],"user_id":' || c_custkey || ',"App_V":1.50}' AS out FROM customer"""),
     "filter_glob": (filter_glob, """SELECT c_custkey, '{"list":[{"id":' || c_custkey || '},{"id":2}],"user_id":' || c_custkey || ',"App_V":1.50}' AS out FROM customer"""),
-    "pretty_print": (pretty_print, """SELECT n_nationkey, '{' || chr(10) || '  "k": ' || n_nationkey || ',' || chr(10) || '  "n": [' || chr(10) || '    "' || n_name || '",' || chr(10) || '    {}' || chr(10) || '  ]' || chr(10) || '}' AS out FROM nation"""),
-    "sort_keys": (sorted_keys, """SELECT n_nationkey, '{"a":-0,"b":{"x":"' || n_name || '","y":2},"z":1.0}' AS out FROM nation"""),
+    "pretty_print": (pretty_print, """SELECT n_nationkey, '{' || chr(10) || '  "k": ' || n_nationkey || ',' || chr(10) || '  "n": [' || chr(10) || '    "' || n_name || '",' || chr(10) || '    {}' || chr(10) || '  ]' || chr(10) || '}' AS out FROM (SELECT c_custkey AS n_nationkey, c_name AS n_name FROM customer)"""),
+    "sort_keys": (sorted_keys, """SELECT n_nationkey, '{"a":-0,"b":{"x":"' || n_name || '","y":2},"z":1.0}' AS out FROM (SELECT c_custkey AS n_nationkey, c_name AS n_name FROM customer)"""),
     "split_array": (split_arrays, """SELECT l_orderkey, CAST((r - 1) // 3 AS INT) AS chunk, '[' || string_agg('{"n":' || l_linenumber || ',"p":' || l_partkey || '}', ',' ORDER BY r) || ']' AS json
         FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, '{"n": ' || l_linenumber || ', "p": ' || l_partkey || '}') AS r FROM lineitem) GROUP BY l_orderkey, (r - 1) // 3"""),
-    "tokenize": (tokens, """WITH t AS (SELECT n_nationkey, length(CAST(n_nationkey AS VARCHAR)) AS w, length(n_name) AS m, n_name, CAST(n_nationkey AS VARCHAR) AS k FROM nation),
+    "tokenize": (tokens, """WITH t AS (SELECT n_nationkey, length(CAST(n_nationkey AS VARCHAR)) AS w, length(n_name) AS m, n_name, CAST(n_nationkey AS VARCHAR) AS k FROM (SELECT c_custkey AS n_nationkey, c_name AS n_name FROM customer)),
         u AS (SELECT n_nationkey, unnest([{'pos': 0, 'type': '{', 'value': '{', 'start': 0, 'line': 1, 'col': 1, 'depth': 0}, {'pos': 1, 'type': 'string', 'value': '"k"', 'start': 2, 'line': 1, 'col': 3, 'depth': 1},
           {'pos': 2, 'type': ':', 'value': ':', 'start': 5, 'line': 1, 'col': 6, 'depth': 1}, {'pos': 3, 'type': 'number', 'value': k, 'start': 7, 'line': 1, 'col': 8, 'depth': 1},
           {'pos': 4, 'type': ',', 'value': ',', 'start': 7 + w, 'line': 1, 'col': 8 + w, 'depth': 1}, {'pos': 5, 'type': 'string', 'value': '"n"', 'start': 11 + w, 'line': 2, 'col': 3, 'depth': 1},
@@ -240,7 +283,7 @@ QUERIES = {
           {'pos': 8, 'type': 'string', 'value': '"' || n_name || '"', 'start': 17 + w, 'line': 2, 'col': 9, 'depth': 2}, {'pos': 9, 'type': ']', 'value': ']', 'start': 19 + w + m, 'line': 2, 'col': 11 + m, 'depth': 1},
           {'pos': 10, 'type': '}', 'value': '}', 'start': 21 + w + m, 'line': 2, 'col': 13 + m, 'depth': 0}]) AS x FROM t)
         SELECT n_nationkey, CAST(x.pos AS INT) AS pos, x."type" AS "type", x."value" AS "value", CAST(x."start" AS INT) AS "start", CAST(x."start" + length(x."value") AS INT) AS "end", CAST(x.line AS INT) AS line, CAST(x.col AS INT) AS col, CAST(x.depth AS INT) AS depth FROM u"""),
-    "frame_concatenated": (frames, """SELECT n_nationkey, 0 AS part, '{"k":' || n_nationkey || '}' AS json FROM nation UNION ALL SELECT n_nationkey, 1, '["' || n_name || '"]' FROM nation UNION ALL SELECT n_nationkey, 2, '3' FROM nation"""),
+    "frame_concatenated": (frames, """SELECT n_nationkey, 0 AS part, '{"k":' || n_nationkey || '}' AS json FROM (SELECT c_custkey AS n_nationkey, c_name AS n_name FROM customer) UNION ALL SELECT n_nationkey, 1, '["' || n_name || '"]' FROM (SELECT c_custkey AS n_nationkey, c_name AS n_name FROM customer) UNION ALL SELECT n_nationkey, 2, '3' FROM (SELECT c_custkey AS n_nationkey, c_name AS n_name FROM customer)"""),
     "error_report": (errors, f"""SELECT e AS error_type, count(*) AS n, e = 'UnterminatedObject' AS fatal, CASE e WHEN 'InvalidNumber' THEN 'drop' ELSE 'keep' END AS policy FROM (SELECT {_ERROR} AS e FROM orders) WHERE e IS NOT NULL GROUP BY e"""),
     "error_policies": (policies, f"""SELECT o_orderkey, 'drop' AS policy, true AS valid FROM orders WHERE {_OK} UNION ALL SELECT o_orderkey, 'keep', {_OK} FROM orders UNION ALL SELECT o_orderkey, 'mend', o_orderkey % 6 < 3 FROM orders"""),
     "repair_escapes": (repaired, r"""SELECT o_orderkey, '{"a": "x?", "b": "\uFFFD", "c": "\\n' || o_orderkey || '"}' AS out, true AS valid FROM orders"""),
@@ -248,10 +291,13 @@ QUERIES = {
     "compose_filter_minify": (composed, """SELECT c_custkey, '{"meta":{"created":1,"updated":2},"user_id":' || c_custkey || ',"App_V":1.50}' AS out FROM customer"""),
     "schema_keywords": (schema_check, f"""SELECT p_partkey, CASE WHEN errors = '' THEN 0 ELSE CAST(len(string_split(errors, ' ')) AS INT) END AS n, errors FROM ({_PART_SQL})"""),
     "schema_strict_pipeline": (schema_pipeline, f"""SELECT p_partkey, CASE WHEN errors = '' THEN '{{"key":' || p_partkey || ',"name":"' || p_name || '","size":' || p_size || ',"brand":"' || p_brand || '"}}' END AS out FROM ({_PART_SQL})"""),
+    "schema_rules": (schema_rules, "SELECT p_partkey, " + ", ".join(f"(p_partkey % 11 <> 0 AND ({ok})) AS {name}" for name, (_, ok) in _RULES.items()) + " FROM part"),
+    "complete_prefix": (prefixes, """SELECT n_nationkey, CAST(0 AS INT) AS pos, '"' || n_name || '"' AS json, true AS utf8 FROM (SELECT c_custkey AS n_nationkey, c_name AS n_name FROM customer)
+        UNION ALL SELECT c_custkey, 1, CAST(c_custkey AS VARCHAR), true FROM customer"""),
     "schema_formats": (schema_formats, """SELECT c_custkey, c_custkey % 4 = 0 AS ipv4, c_custkey % 4 = 2 AS "date", c_custkey % 4 = 3 AS email, false AS uri FROM customer"""),
-    "semantic_equal": (equal_texts, "SELECT n_nationkey, n_nationkey % 2 = 0 AS equal FROM nation"),
-    "strip_comments": (comments, """SELECT n_nationkey, '{"a":"//' || n_name || '","b":1}' AS out FROM nation"""),
-    "duplicate_keys": (duplicates, """SELECT n_nationkey, 0 AS object, '"a"' AS name, CAST(2 AS BIGINT) AS n, 2 AS line FROM nation UNION ALL SELECT n_nationkey, 4, '"k"', 2, 1 FROM nation"""),
+    "semantic_equal": (equal_texts, "SELECT n_nationkey, n_nationkey % 2 = 0 AS equal FROM (SELECT c_custkey AS n_nationkey, c_name AS n_name FROM customer)"),
+    "strip_comments": (comments, """SELECT n_nationkey, '{"a":"//' || n_name || '","b":1}' AS out FROM (SELECT c_custkey AS n_nationkey, c_name AS n_name FROM customer)"""),
+    "duplicate_keys": (duplicates, """SELECT n_nationkey, 0 AS object, '"a"' AS name, CAST(2 AS BIGINT) AS n, 2 AS line FROM (SELECT c_custkey AS n_nationkey, c_name AS n_name FROM customer) UNION ALL SELECT n_nationkey, 4, '"k"', 2, 1 FROM (SELECT c_custkey AS n_nationkey, c_name AS n_name FROM customer)"""),
     "diagnostics": (diagnosed, f"""SELECT o_orderkey, CASE WHEN {_OK} THEN '' ELSE '2:' || {_ERROR} || ':' || CASE o_orderkey % 6 WHEN 2 THEN length(j) - 1 WHEN 3 THEN 6 WHEN 4 THEN length(j) - 3 WHEN 5 THEN length(j) END END AS findings,
         o_orderkey % 6 < 3 AS lenient, true AS container FROM (SELECT *, {_MIXED_SQL} AS j FROM orders)"""),
     "run_summary": (summary, f"""SELECT count(*) AS documents, CAST(sum(strlen(j)) AS BIGINT) AS input_bytes, CAST(coalesce(sum(strlen(m)), 0) AS BIGINT) AS output_bytes, count(*) FILTER (m IS NULL) AS errors,

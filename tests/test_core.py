@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import sparkjson.functions as J
+from sparkjson.functions import repair_escapes
 from sparkjson.functions.rewrite import filter_fields, map_lexemes, pretty, sort_keys, split_array
 from sparkjson.functions.schema import conforms, number_schema, object_schema, optimization_hints, schema_errors, string_schema
 from sparkjson.operators.diagnostics import container_root, duplicate_keys, findings, lenient_valid
@@ -16,7 +17,7 @@ from sparkjson.operators.metrics import observed, prometheus_text
 from sparkjson.operators.policy import apply_policy, error_report, quarantine
 from sparkjson.operators.tokens import array_chunks, framed, token_rows
 from sparkjson.plans import Engine, Transform, convert, custom, filtered, formatted, minified, plugin, plugins, validated
-from sparkjson.sources import minify_files, read_documents, read_lines
+from sparkjson.sources import minified_files, minify_files, read_documents, read_lines, validated_files
 
 VALID = [
     "0", '""', "{}", "[]", "true", "false", "null", "-0", "9223372036854775807", "-9223372036854775808", "1.7976931348623157e+308", "1e+100", "0.000000000000001",
@@ -230,7 +231,8 @@ def test_diagnostics(spark):
     assert values(spark, texts, lenient_valid(c, allow_trailing_commas=True, max_string_length=10)) == [True, True, False, False, True, False, False]
     assert values(spark, texts[5:6], lenient_valid(c, allow_comments=True)) == [True]
     got = values(spark, ["[" + "9" * 101 + "]", "[" + "{}," * 1001 + "{}]", "[1", None], findings(c))
-    assert [None if g is None else [tuple(x) for x in g] for g in got] == [[(1, "Long number", "1")], [(1, "Many objects", "1002")], [(2, "UnterminatedArray", "2")], None]
+    assert got[2][0].context == "[1" and got[0][0].context is None
+    assert [None if g is None else [tuple(x)[:3] for x in g] for g in got] == [[(1, "Long number", "1")], [(1, "Many objects", "1002")], [(2, "UnterminatedArray", "2")], None]
     assert values(spark, [" [1]", "5", ""], container_root(c)) == [True, False, False]
 
 
@@ -302,3 +304,50 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_rewrites_reach_the_depth_limit(spark):
+    n = 1000
+    deep = '{"b": 1, "a": ' * (n - 1) + "[]" + "}" * (n - 1)
+    rows = spark.createDataFrame([(deep,), ("[" * n + "]" * n,)], "j string")
+    got = rows.select(sort_keys(F.col("j")).alias("s"), pretty(F.col("j"), indent=0).alias("p"), filter_fields(F.col("j"), exclude=["a." * (n - 2) + "b"]).alias("f"), filter_fields(F.col("j"), include=["b"]).alias("i")).collect()
+    assert got[0].s == '{"a":' * (n - 1) + "[]" + ',"b":1}' * (n - 1) and got[0].p.replace("\n", "").replace(" ", "") == deep.replace(" ", "")
+    assert got[0].f == ('{"b":1,"a":' * (n - 2)) + '{"a":[]' + "}" * (n - 1) and got[0].i == '{"b":1}'
+    assert got[1].s == "[" * n + "]" * n == got[1].f == got[1].p.replace("\n", "")
+
+
+def test_filter_leaves_no_empty_ancestors(spark):
+    text = '{"a": {"id": 1, "x": 2}, "b": {"x": {"y": []}}, "c": [{"x": 1}], "d": [{"id": {}}, {"x": 3}, 4], "e": {}, "id": []}'
+    got = spark.createDataFrame([(text,)], "j string").select(filter_fields(F.col("j"), include=["*.id"]).alias("f"), filter_fields(F.col("j"), include=["b.z", "e"]).alias("g")).first()
+    assert got.f == '{"a":{"id":1},"d":[{"id":{}},{},4]}' and got.g == '{"e":{}}'
+
+
+def test_schemas_refuse_trailing_data_and_compare_numbers(spark):
+    docs = ["2", "2.0", "2e0", "2 x", "[2.0]", '"2"', "true", None]
+    rows = spark.createDataFrame([(k, d) for k, d in enumerate(docs)], "k int, j string").orderBy("k")
+    got = [(r.a, r.b) for r in rows.select(conforms(F.col("j"), {"enum": [2.0, True]}).alias("a"), conforms(F.col("j"), {}).alias("b")).collect()]
+    assert got == [(True, True), (True, True), (True, True), (False, False), (False, True), (False, True), (True, True), (None, None)]
+
+
+def test_tokens_and_frames_of_rows_that_share_a_key(spark):
+    rows = spark.createDataFrame([(1, "[1]{"), (1, '{"a":\n2} 7'), (None, "[3]"), (2, ""), (3, None)], "k long, j string")
+    assert sorted(map(tuple, framed(rows, "k", "j").collect()), key=str) == sorted([(1, 0, "[1]"), (1, 0, '{"a":2}'), (1, 1, "7"), (None, 0, "[3]")], key=str)
+    places = {(r.value, r.start, r.end, r.line, r.col, r.depth, r.type) for r in token_rows(rows, "k", "j").where("value = '2'").collect()}
+    assert places == {("2", 6, 7, 2, 1, 1, "number")}
+    assert "Exchange" not in framed(rows, "k", "j")._jdf.queryExecution().toString()
+
+
+def test_repairs_stay_inside_strings(spark):
+    cases = {r'{"a":1} \q': r'{"a":1} \q', r'["\q", "\u12", "\\q"] \u': r'["?", "\uFFFD", "\\q"] \u', "plain": "plain", None: None}
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, j string").orderBy("k")
+    assert [r.x for r in rows.select(repair_escapes(F.col("j")).alias("x")).collect()] == list(cases.values())
+
+
+def test_files_keep_their_paths(spark, tmp_path):
+    (tmp_path / "a.json").write_text("[ 1 ]")
+    (tmp_path / "b.json").write_text("[ 1 ")
+    name = lambda r: r.path.rsplit("/", 1)[1]
+    assert {name(r): (r.json, r.ok) for r in minified_files(spark, str(tmp_path), "eco").collect()} == {"a.json": ("[1]", True), "b.json": (None, False)}
+    assert {name(r): (r.valid, r.error) for r in validated_files(spark, str(tmp_path)).collect()} == {"a.json": (True, None), "b.json": (False, "UnterminatedArray")}
+    with pytest.raises(Exception, match="Invalid JSON"):
+        minified_files(spark, str(tmp_path), "eco", fail_on_error=True).collect()
