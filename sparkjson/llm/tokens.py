@@ -21,7 +21,7 @@ PLAIN = re.compile(r"[\t\n\r -~¡-¬®-ÿ]*")
 WORD_TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 LOWER = re.compile("[a-zß-öø-ÿ]+")
 #: Bounds of the two caches and of what the library gets at once.
-CACHE_CHUNKS, CACHE_PIECES, AT_ONCE, TEXTS_AT_ONCE = 150_000, 150_000, 20_000, 256
+CACHE_CHUNKS, CACHE_PIECES, AT_ONCE, TEXTS_AT_ONCE = 250_000, 300_000, 20_000, 256
 
 
 class Encoder:
