@@ -3,8 +3,8 @@
 A word is its bytes (one character of ISO-8859-1 for each) and an array of its pieces' starts and pair ranks;
 ``fold_word`` folds ranked merges over it, looking pairs up in a literal rank map.  The map is dealt into buckets by hash, since Spark scans a map's keys in
 order.  Distinct words are counted over the whole corpus, and the commonest ``DICTIONARY_WORDS`` of them are folded
-once; texts look their words up in that dictionary, a scalar subquery of bounded size, and fold only the others
-in place.  So no text is shuffled, and what travels to the tasks does not grow with the corpus.
+once; texts look their words up in that dictionary, a scalar subquery of bounded size, and fold only the others (all
+words of more than ``WORD_CHARS`` characters among them) in place.  So no text is shuffled, and what travels to the tasks does not grow with the corpus.
 
 Decoding joins the pieces of the ids, as bytes.
 
@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 from .common import documents, let, materialize
 
 DICTIONARY_WORDS = 1 << 19
-RANK_BUCKETS, DICTIONARY_BUCKETS = 1 << 14, 1 << 17
+#: Longer words, in characters, are never held, which bounds the dictionary in bytes too.
+WORD_CHARS = 128
+#: Powers of two.
+RANK_BUCKETS, DICTIONARY_BUCKETS = 1 << 16, 1 << 17
 NO_RANK = 2**31 - 1
 #: White space of Unicode, which Java's ``\s`` is not.
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -69,7 +72,7 @@ class Vocabulary:
 
 
 def _bucket(value: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(value), F.lit(buckets)).cast("int")
+    return F.hash(value).bitwiseAND(F.lit(buckets - 1))
 
 
 def as_bytes(word: Column) -> Column:
@@ -126,7 +129,7 @@ def split_words(text: Column, pattern: str) -> Column:
 def dictionary(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "text", words: int = DICTIONARY_WORDS) -> DataFrame:
     """One row, one column: an array of DICTIONARY_BUCKETS maps word -> ids of the commonest words of all texts."""
     counts = docs.select(F.explode(split_words(F.col(text), pattern)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    counts = materialize(counts, "words")
+    counts = materialize(counts.where(F.length("word") <= WORD_CHARS), "words")
     top = 100_000
     sizes = {r["n"]: r["c"] for r in counts.groupBy(F.least("n", F.lit(top)).alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}
     least, held = top + 1, 0
@@ -135,9 +138,11 @@ def dictionary(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str
             break
         least, held = n, held + sizes[n]
     chosen = counts.where(F.col("n") >= least).repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
-    folded = chosen.select("word", vocabulary.ids(F.array("word"))[0].alias("ids"), _bucket(F.col("word"), DICTIONARY_BUCKETS).alias("b"))
+    folded = chosen.select("word", "n", vocabulary.ids(F.array("word"))[0].alias("ids"), _bucket(F.col("word"), DICTIONARY_BUCKETS).alias("b"))
     folded = materialize(folded, "dictionary")
-    maps = folded.groupBy("b").agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("m"))
+    # Spark scans a map's keys in order, so the commonest words come first.
+    common = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word", "ids")))
+    maps = folded.groupBy("b").agg(F.map_from_entries(F.transform(common, lambda x: F.struct(x["word"], x["ids"]))).alias("m"))
     every = docs.sparkSession.range(DICTIONARY_BUCKETS).select(F.col("id").cast("int").alias("b")).join(maps, "b", "left")
     empty = F.create_map().cast("map<string,array<int>>")
     every = every.select("b", F.coalesce("m", empty).alias("m"))
