@@ -18,17 +18,18 @@ GOOD_SCALAR = r"^(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|fa
 MODES = ("eco", "sport", "turbo")
 
 
-def minify(c: Column, mode: str = "sport", strict: bool | None = None, max_depth: int | None = None) -> Column:
+def minify(c: Column, mode: str = "sport", strict: bool | None = None, max_depth: int | None = None, max_bytes: int | None = None) -> Column:
     """Remove white space outside strings, byte for byte.
 
     ``eco`` is strict by default (invalid text: null; 31 containers deep at most); ``sport`` and ``turbo`` never validate
-    unless ``strict``.  Empty and blank texts give the empty text in every mode.
+    unless ``strict``.  Empty and blank texts give the empty text in every mode.  Texts of more than ``max_bytes`` give null.
     """
     from .validity import is_valid
 
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     strict = mode == "eco" if strict is None else strict
+    c = c if max_bytes is None else F.when(F.octet_length(c) <= max_bytes, c)
     out = F.regexp_replace(c, rf"(?s)({STRING})|{BLANK}+", "$1")
     if not strict:
         return out
@@ -92,3 +93,21 @@ def structure_counts(c: Column) -> Column:
         return F.struct(*(count(k).alias(n) for n, k in names), F.octet_length(c).cast("long").alias("bytes"))
 
     return F.when(c.isNotNull(), F.transform(F.array(all_kinds), of)[0])
+
+
+def length_profile(c: Column) -> Column:
+    """struct(keys, avg_key_length, strings, avg_string_length): characters between the quotes, as spelled; averages of none are null."""
+    spelled = F.regexp_extract_all(c, F.lit(rf"(?s){STRING}(?:{BLANK}*+:)?+"), F.lit(0))
+
+    def of(xs: Column) -> Column:
+        keys = F.filter(xs, lambda x: F.endswith(x, F.lit(":")))
+        strings = F.filter(xs, lambda x: F.endswith(x, F.lit('"')))
+        # A key's lexeme goes to its colon: the quote, blanks and the colon are left off.
+        length = lambda x: F.length(F.regexp_replace(x, rf'"{BLANK}*:?\z', "")) - 1
+        mean = lambda ys: F.when(F.size(ys) > 0, F.aggregate(ys, F.lit(0).cast("long"), lambda s, y: s + length(y)) / F.size(ys))
+        return F.struct(
+            F.size(keys).cast("long").alias("keys"), mean(keys).alias("avg_key_length"),
+            F.size(strings).cast("long").alias("strings"), mean(strings).alias("avg_string_length"),
+        )
+
+    return F.when(c.isNotNull(), F.transform(F.array(spelled), of)[0])

@@ -9,6 +9,8 @@ from .lexical import STRING
 
 #: Result codes and their messages.
 ERROR_MESSAGES = {0: "Success", -1: "Invalid JSON", -2: "Out of memory", -3: "Invalid mode", -99: "Unknown error"}
+#: The two-character escapes of JSON.
+ESCAPES = {'"': '"', "\\": "\\", "/": "/", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
 SEVERITIES = {0: "info", 1: "warning", 2: "error", 3: "fatal"}
 
 
@@ -61,6 +63,14 @@ def classify_char(ch: Column) -> Column:
     return F.when(ch.isin(" ", "\t", "\n", "\r"), "whitespace").when(ch == '"', "quote").when(ch == "\\", "escape").otherwise(F.when(ch.isNotNull(), "regular"))
 
 
+def escape_value(ch: Column) -> Column:
+    """What the letter of a two-character escape stands for; null for any other."""
+    out = None
+    for letter, value in ESCAPES.items():
+        out = (F if out is None else out).when(ch == letter, F.lit(value))
+    return out
+
+
 def json_string_value(lexeme: Column) -> Column:
     """The text of a JSON string literal."""
     return F.try_variant_get(F.try_parse_json(lexeme), "$", "string")

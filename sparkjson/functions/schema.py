@@ -1,7 +1,12 @@
 """JSON Schema compiled to Spark expressions over VARIANT.
 
-``schema_errors(c, schema)`` gives the errors of each text as array<struct<message, instance_path, keyword>>; the schema is
-a Python dict that is read once, on the driver.  Checks inside array items are reported once, at the array.
+``schema_errors(c, schema)`` gives the errors of each text as an array of ERROR structs; the schema is a Python dict that is
+read once, on the driver.  Checks inside array items are reported once, at the array.  ``expected`` is the keyword's
+value as JSON, ``actual`` a scalar's JSON or a container's kind.
+
+A schema that refers to itself is unrolled ``ref_depth`` times, since an expression has no recursion; a value nested deeper has the error
+``$ref`` (inside ``anyOf``, ``not`` and the like it counts as one that does not match).  The expression grows with that depth as a power of the
+number of places that refer back.
 Parsing needs unique keys unless ``spark.sql.variant.allowDuplicateKeys`` is set; a text that cannot be parsed has
 the one error "Invalid JSON".
 """
@@ -10,15 +15,18 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from collections import Counter
 from functools import reduce
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import quote_json
+from .scalars import quote_json, type_name
 from .validity import is_valid
 
-ERROR = "array<struct<message:string,instance_path:string,keyword:string>>"
+ERROR = "array<struct<message:string,instance_path:string,keyword:string,schema_path:string,expected:string,actual:string>>"
+REF_DEPTH = 8
 #: What each failing keyword says.
 MESSAGES = {
     "type": "Expected type does not match",
@@ -31,6 +39,7 @@ MESSAGES = {
     "exclusiveMaximum": "Number not below exclusive maximum",
     "multipleOf": "Number is not a multiple of constraint",
     "integer": "Expected integer, got decimal",
+    "$ref": "Nested deeper than references are followed",
 }
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 FORMATS: dict[str, Callable[[Column], Column]] = {
@@ -52,11 +61,31 @@ def _path(name: str) -> str:
     return "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
 
 
+class _Check(NamedTuple):
+    """One test of a value that is there: whether it passes, and what is said if not."""
+
+    ok: Column
+    message: str
+    instance_path: str
+    keyword: str
+    schema_path: str
+    expected: Any
+    value: Column
+
+    def error(self) -> Column:
+        actual = F.when(F.schema_of_variant(self.value).rlike("^(?:ARRAY|OBJECT)"), type_name(self.value)).otherwise(F.to_json(self.value))
+        texts = {
+            "message": self.message, "instance_path": self.instance_path, "keyword": self.keyword, "schema_path": self.schema_path,
+            "expected": json.dumps(self.expected, separators=(",", ":"), ensure_ascii=False),
+        }
+        return F.struct(*(F.lit(text).alias(name) for name, text in texts.items()), actual.alias("actual"))
+
+
 class _Compiler:
-    def __init__(self, root: dict, length_unit: str, validate_formats: bool):
-        self.root, self.formats = root, validate_formats
+    def __init__(self, root: dict, length_unit: str, validate_formats: bool, ref_depth: int):
+        self.root, self.formats, self.ref_depth = root, validate_formats, ref_depth
         self.length = F.length if length_unit == "chars" else F.octet_length
-        self.open: set[int] = set()
+        self.open: Counter[int] = Counter()
 
     def resolve(self, ref: str) -> dict:
         node = self.root
@@ -78,25 +107,26 @@ class _Compiler:
         }
         return tests[name]
 
-    def checks(self, v: Column, schema: dict | bool, path: str) -> list[tuple[Column, str, str, str]]:
-        """(passes, message, path, keyword) for what applies when ``v`` is present."""
+    def checks(self, v: Column, schema: dict | bool, path: str, where: str = "#") -> list[_Check]:
+        """What applies when ``v``, at ``path``, is present; ``where`` leads to ``schema``."""
         if schema is True or schema == {}:
             return []
         if schema is False:
-            return [(F.lit(False), "No value is allowed", path or "/", "false")]
+            return [_Check(F.lit(False), "No value is allowed", path or "/", "false", where, False, v)]
         if "$ref" in schema:
             target = self.resolve(schema["$ref"])
-            if id(target) in self.open:
-                raise ValueError("recursive references are not supported")
-            self.open.add(id(target))
+            if self.open[id(target)] >= self.ref_depth:
+                return [_Check(F.lit(False), MESSAGES["$ref"], path or "/", "$ref", f"{where}/$ref", schema["$ref"], v)]
+            self.open[id(target)] += 1
             try:
-                return self.checks(v, target, path)
+                return self.checks(v, target, path, schema["$ref"])
             finally:
-                self.open.discard(id(target))
-        out: list[tuple[Column, str, str, str]] = []
+                self.open[id(target)] -= 1
+        out: list[_Check] = []
 
         def add(keyword: str, ok: Column, message: str | None = None) -> None:
-            out.append((ok, message or MESSAGES.get(keyword, f"{keyword} failed"), path or "/", keyword))
+            named = "type" if keyword == "integer" else keyword
+            out.append(_Check(ok, message or MESSAGES.get(keyword, f"{keyword} failed"), path or "/", keyword, f"{where}/{named}", schema.get(named), v))
 
         if "type" in schema:
             names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
@@ -158,12 +188,12 @@ class _Compiler:
             if keyword in schema:
                 add(keyword, ~is_object | ok(schema[keyword]))
         for name in schema.get("required", []):
-            out.append((~is_object | F.array_contains(keys, name), f"Missing required property {name}", f"{path}/{name}", "required"))
+            out.append(_Check(~is_object | F.array_contains(keys, name), f"Missing required property {name}", f"{path}/{name}", "required", f"{where}/required", name, v))
         properties = schema.get("properties", {})
         for name, sub in properties.items():
             child = F.try_variant_get(v, _path(name), "variant")
             absent = ~is_object | ~F.coalesce(F.array_contains(keys, name), F.lit(False))
-            out += [(absent | ok, message, where, keyword) for ok, message, where, keyword in self.checks(child, sub, f"{path}/{name}")]
+            out += [check._replace(ok=absent | check.ok) for check in self.checks(child, sub, f"{path}/{name}", f"{where}/properties/{name}")]
         patterns = list(schema.get("patternProperties", {}).items())
         members = F.try_variant_get(v, "$", "map<string,variant>")
         for pattern, sub in patterns:
@@ -197,26 +227,44 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
-def schema_errors(c: Column, schema: dict, *, max_errors: int = 100, fail_fast: bool = False, length_unit: str = "chars", validate_formats: bool = True) -> Column:
+def _parsed(c: Column) -> Column:
+    return F.try_parse_json(F.when(is_valid(c), c))  # the parser alone would pass over data behind the value
+
+
+def schema_errors(
+    c: Column, schema: dict, *, max_errors: int = 100, fail_fast: bool = False, length_unit: str = "chars", validate_formats: bool = True, ref_depth: int = REF_DEPTH
+) -> Column:
     """Errors of each text, in the schema's order, ``max_errors`` (or, with ``fail_fast``, one) at most; null for null."""
-    parsed = F.try_parse_json(F.when(is_valid(c), c))  # the parser alone would pass over data behind the value
 
     def of(v: Column) -> Column:
-        none = F.lit(None).cast(ERROR[6:-1])
-        error = lambda message, path, keyword: F.struct(F.lit(message).alias("message"), F.lit(path).alias("instance_path"), F.lit(keyword).alias("keyword"))
-        found = [
-            F.when(~F.coalesce(ok, F.lit(False)), error(message, path, keyword)).otherwise(none)
-            for ok, message, path, keyword in _Compiler(schema, length_unit, validate_formats).checks(v, schema, "")
-        ]
+        checks = _Compiler(schema, length_unit, validate_formats, ref_depth).checks(v, schema, "")
+        found = [F.when(~F.coalesce(check.ok, F.lit(False)), check.error()) for check in checks]
         kept = F.filter(F.array(*found), lambda e: e.isNotNull()) if found else F.array().cast(ERROR)
         kept = F.slice(kept, F.lit(1), F.lit(1 if fail_fast else max_errors))
-        return F.when(v.isNull(), F.array(error("Invalid JSON", "/", "parse"))).otherwise(kept)
+        return F.when(v.isNull(), F.array(_Check(F.lit(False), "Invalid JSON", "/", "parse", "#", None, v).error())).otherwise(kept)
+
+    return F.when(c.isNotNull(), F.transform(F.array(_parsed(c)), of)[0])
+
+
+def conforms(c: Column, schema: dict, *, length_unit: str = "chars", validate_formats: bool = True, ref_depth: int = REF_DEPTH) -> Column:
+    """Whether a text has no ``schema_errors``; checks stop at the first that fails, and no error is built.  Null for null."""
+    of = lambda v: v.isNotNull() & _Compiler(schema, length_unit, validate_formats, ref_depth).passes(v, schema)
+    return F.when(c.isNotNull(), F.transform(F.array(_parsed(c)), of)[0])
+
+
+# Lookups.
+
+
+def property_schema(schema: dict, name: str) -> dict | bool | None:
+    return schema.get("properties", {}).get(name)
+
 
-    return F.when(c.isNotNull(), F.transform(F.array(parsed), of)[0])
+def required_properties(schema: dict) -> list[str]:
+    return list(schema.get("required", []))
 
 
-def conforms(c: Column, schema: dict, **options) -> Column:
-    return F.size(schema_errors(c, schema, fail_fast=True, **options)) == 0
+def is_property_required(schema: dict, name: str) -> bool:
+    return name in schema.get("required", [])
 
 
 # Builders.

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexical import BLANK, STRING, kinds, lexemes
+from .lexical import BLANK, GOOD_SCALAR, STRING, kinds, lexemes
 
 _GOOD = ("string", "number", "boolean", "null")
 _STRUCTURE = ("{", "}", "[", "]", ":", ",")
@@ -126,13 +126,37 @@ def is_utf8(binary: Column) -> Column:
 
 
 def complete_prefix(c: Column) -> Column:
-    """The longest beginning of a text that ends outside strings with all containers closed; empty if there is none."""
-    closed = F.regexp_extract_all(c, F.lit(rf'(?s){STRING}|[^"]'), F.lit(0))
+    """The longest beginning of a text that ends outside strings with all containers closed; empty if there is none.
+
+    Nothing counts from a string without an end or a bracket that closes nothing on.
+    """
+    pieces = F.regexp_extract_all(c, F.lit(rf'(?s){STRING}|[{{}}\[\]]|{BLANK}++|[^"{{}}\[\] \t\n\r]++|".*'), F.lit(0))
 
     def step(s: Column, x: Column) -> Column:
-        depth = s["depth"] + F.when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1).otherwise(0)
+        depth = F.when((s["depth"] < 0) | x.rlike(rf'(?s)^(?!{STRING}\z)"'), -1).otherwise(s["depth"] + F.when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1).otherwise(0))
         at = s["at"] + F.length(x)
-        return F.struct(depth.alias("depth"), at.alias("at"), F.when((depth == 0) & ~x.rlike(BLANK), at).otherwise(s["best"]).alias("best"))
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when((depth == 0) & ~x.rlike(rf"^{BLANK}"), at).otherwise(s["best"]).alias("best"))
 
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("best"))
-    return F.when(c.isNotNull(), F.left(c, F.aggregate(closed, start, step, lambda s: s["best"])))
+    return F.when(c.isNotNull(), F.left(c, F.aggregate(pieces, start, step, lambda s: s["best"])))
+
+
+def skip_invalid(c: Column) -> Column:
+    """Without the lexemes that no document may hold, and without unknown escapes (two characters each) inside strings.
+
+    Broken ``\\u`` escapes lose their first two characters and keep the rest; control characters in strings go.  Structure
+    is not mended, so the outcome may still be invalid.
+    """
+
+    def mended(x: Column) -> Column:
+        known = F.regexp_replace(x, r'(?s)\G((?:[^\\]|\\["\\/bfnrt]|\\u[0-9A-Fa-f]{4})*+)\\(?:[^"\\/bfnrt])', "$1")
+        return F.regexp_replace(known, r"[\x00-\x1F]", "")
+
+    def kept(x: Column) -> Column:
+        bare = F.regexp_replace(x, rf"^{BLANK}+", "")
+        lead = F.left(x, F.length(x) - F.length(bare))
+        quoted = F.startswith(bare, F.lit('"')) & (F.length(bare) > 1)
+        good = bare.rlike(r"^[{}\[\]:,]$") | bare.rlike(GOOD_SCALAR)
+        return F.concat(lead, F.when(quoted, mended(bare)).when(good, bare).otherwise(""))
+
+    return F.array_join(F.transform(lexemes(c, spaced=True), kept), "")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexical import minify
-from ..functions.validity import repair_escapes, validate
+from ..functions.validity import repair_escapes, skip_invalid, validate
 
 #: Which policy each error asks for, and how grave it is (0 info .. 3 fatal).
 BY_ERROR = {
@@ -16,14 +16,14 @@ BY_ERROR = {
     "DepthLimitExceeded": "fail",
 }
 SEVERITY = {"DepthLimitExceeded": 3, "UnexpectedEndOfInput": 3, "UnterminatedObject": 3, "UnterminatedArray": 3, "UnterminatedString": 3}
-POLICIES = ("fail", "drop", "repair", "keep")
+POLICIES = ("fail", "drop", "repair", "skip", "keep")
 
 
 def apply_policy(df: DataFrame, column: str, on_error: str | Callable[[Column], Column] = "keep", max_depth: int = 1000) -> DataFrame:
     """``df`` with ``error`` (struct or null) and the rows of invalid JSON treated.
 
     fail: the query fails with the error's name; drop: such rows go; repair: broken escapes are mended and the text
-    checked again; keep: rows stay; a function: it makes the new text from the old, which is checked again.
+    checked again; skip: what is no lexeme is left out and the text checked again; keep: rows stay; a function: it makes the new text from the old, which is checked again.
     Null texts pass with no error.
     """
     c = F.col(column)
@@ -33,8 +33,9 @@ def apply_policy(df: DataFrame, column: str, on_error: str | Callable[[Column],
         # No filter passes a nondeterministic column, so one on the error does not validate each text once more.
         return frame.withColumn("error", F.when(F.monotonically_increasing_id() >= 0, error))
 
-    if callable(on_error) or on_error == "repair":
-        mend = on_error if callable(on_error) else repair_escapes
+    menders = {"repair": repair_escapes, "skip": skip_invalid}
+    if callable(on_error) or on_error in menders:
+        mend = on_error if callable(on_error) else menders[on_error]
         first = checked(df)
         return checked(first.withColumn(column, F.when(F.col("error").isNotNull(), mend(c)).otherwise(c)).drop("error"))
     if on_error not in POLICIES:

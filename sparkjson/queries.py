@@ -196,6 +196,34 @@ def schema_rules(spark, sf_dir):
     return rows.select("p_partkey", *(conforms(F.col("j"), rule).alias(name) for name, (rule, _) in _RULES.items()))
 
 
+_TREE = {"$defs": {"node": {"type": "object", "properties": {"v": {"type": "integer", "maximum": 30}, "sub": {"type": "array", "items": {"$ref": "#/$defs/node"}}}, "required": ["v"]}}, "$ref": "#/$defs/node"}
+
+
+def schema_recursive(spark, sf_dir):
+    """Trees of three levels whose last leaf is wrong where the size is over 30, and lacks its value in each fifth one."""
+    text = """concat('{"v": 1, "sub": [{"v": 2, "sub": []}, {"v": 3, "sub": [{', CASE WHEN p_partkey % 5 = 0 THEN '"w"' ELSE '"v"' END, ': ', p_size, '}]}]}')"""
+    rows = _table(spark, sf_dir, "part", "p_partkey", "p_size").select("p_partkey", F.expr(text).alias("j"))
+    return rows.select("p_partkey", conforms(F.col("j"), _TREE).alias("ok"), conforms(F.col("j"), _TREE, ref_depth=2).alias("ok_at_two"))
+
+
+def schema_details(spark, sf_dir):
+    """Each error with where it stands in text and schema, and what was wanted and found."""
+    rows = _table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size", "p_brand").select("p_partkey", F.expr(_PART_JSON).alias("j"))
+    schema = {"properties": {"size": {"maximum": 30}, "key": {"type": "string"}}, "required": ["brand"]}
+    errors = rows.select("p_partkey", F.explode(schema_errors(F.col("j"), schema)).alias("e"))
+    return errors.select("p_partkey", "e.keyword", "e.schema_path", "e.expected", "e.actual")
+
+
+def key_lengths(spark, sf_dir):
+    return nested(spark, sf_dir).select("c_custkey", J.length_profile(F.col("j")).alias("p")).select("c_custkey", "p.keys", "p.avg_key_length", "p.strings")
+
+
+def skipped(spark, sf_dir):
+    text = r"""concat('{"a": "x', r'\q', 'y", @"n": ', CASE WHEN pmod(o_orderkey, 2) = 0 THEN '7' ELSE '[01, 2]' END, '}')"""
+    rows = _table(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", F.expr(text).alias("j"))
+    return apply_policy(rows, "j", "skip").select("o_orderkey", F.col("j").alias("out"), F.col("error.error").alias("error"))
+
+
 def prefixes(spark, sf_dir):
     """What is complete in documents that were cut, and array elements as rows."""
     rows = _named(spark, sf_dir).select("n_nationkey", F.expr("""concat('{"a": ["', n_name, '", ', n_nationkey, ']} [1, "]', n_name)""").alias("j"))
@@ -294,6 +322,13 @@ QUERIES = {
     "schema_rules": (schema_rules, "SELECT p_partkey, " + ", ".join(f"(p_partkey % 11 <> 0 AND ({ok})) AS {name}" for name, (_, ok) in _RULES.items()) + " FROM part"),
     "complete_prefix": (prefixes, """SELECT n_nationkey, CAST(0 AS INT) AS pos, '"' || n_name || '"' AS json, true AS utf8 FROM (SELECT c_custkey AS n_nationkey, c_name AS n_name FROM customer)
         UNION ALL SELECT c_custkey, 1, CAST(c_custkey AS VARCHAR), true FROM customer"""),
+    "schema_recursive": (schema_recursive, "SELECT p_partkey, p_partkey % 5 <> 0 AND p_size <= 30 AS ok, false AS ok_at_two FROM part"),
+    "schema_error_details": (schema_details, """SELECT p_partkey, 'required' AS keyword, '#/required' AS schema_path, '"brand"' AS expected, 'object' AS actual FROM part WHERE p_partkey % 10 = 0
+        UNION ALL SELECT p_partkey, 'maximum', '#/properties/size/maximum', '30', CAST(p_size AS VARCHAR) FROM part WHERE p_size > 30
+        UNION ALL SELECT p_partkey, 'type', '#/properties/key/type', '"string"', CAST(p_partkey AS VARCHAR) FROM part"""),
+    "key_lengths": (key_lengths, f"""SELECT c_custkey, CAST(len(k) AS BIGINT) AS "keys", CAST(list_sum(list_transform(k, lambda x: length(x))) AS DOUBLE) / len(k) AS avg_key_length, CAST(len(s) - len(k) AS BIGINT) AS strings
+        FROM (SELECT c_custkey, regexp_extract_all(j, '"([^"]*)":', 1) AS k, regexp_extract_all(j, '"[^"]*"') AS s FROM (SELECT c_custkey, {_N} AS j FROM customer))"""),
+    "skip_policy": (skipped, """SELECT o_orderkey, '{"a": "xy", "n": ' || CASE o_orderkey % 2 WHEN 0 THEN '7}' ELSE '[, 2]}' END AS out, CASE o_orderkey % 2 WHEN 1 THEN 'InvalidCharacter' END AS error FROM orders"""),
     "schema_formats": (schema_formats, """SELECT c_custkey, c_custkey % 4 = 0 AS ipv4, c_custkey % 4 = 2 AS "date", c_custkey % 4 = 3 AS email, false AS uri FROM customer"""),
     "semantic_equal": (equal_texts, "SELECT n_nationkey, n_nationkey % 2 = 0 AS equal FROM (SELECT c_custkey AS n_nationkey, c_name AS n_name FROM customer)"),
     "strip_comments": (comments, """SELECT n_nationkey, '{"a":"//' || n_name || '","b":1}' AS out FROM (SELECT c_custkey AS n_nationkey, c_name AS n_name FROM customer)"""),

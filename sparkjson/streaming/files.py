@@ -24,3 +24,11 @@ def run_available(stream: DataFrame, engine: Engine, target: str, checkpoint: st
     """Transform all that is there now, write it as Parquet, and stop; call again for what arrived since."""
     out = engine.run(stream, column).where(F.col(column).isNotNull())
     return out.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def progress_rates(query: StreamingQuery) -> dict[str, float]:
+    """rows, seconds, average and peak rows a second over the batches that the query still remembers."""
+    batches = [(p["numInputRows"], p["durationMs"].get("triggerExecution", 0) / 1000) for p in query.recentProgress if p["numInputRows"]]
+    rows, seconds = sum(n for n, _ in batches), sum(s for _, s in batches)
+    rates = [n / s for n, s in batches if s]
+    return {"rows": rows, "seconds": seconds, "rows_per_second": rows / seconds if seconds else 0.0, "peak_rows_per_second": max(rates, default=0.0)}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import sparkjson.functions as J
 from sparkjson.functions import repair_escapes
 from sparkjson.functions.rewrite import filter_fields, map_lexemes, pretty, sort_keys, split_array
-from sparkjson.functions.schema import conforms, number_schema, object_schema, optimization_hints, schema_errors, string_schema
+from sparkjson.functions.schema import conforms, is_property_required, number_schema, object_schema, optimization_hints, property_schema, required_properties, schema_errors, string_schema
 from sparkjson.operators.diagnostics import container_root, duplicate_keys, findings, lenient_valid
 from sparkjson.operators.metrics import observed, prometheus_text
 from sparkjson.operators.policy import apply_policy, error_report, quarantine
@@ -351,3 +351,58 @@ def test_files_keep_their_paths(spark, tmp_path):
     assert {name(r): (r.valid, r.error) for r in validated_files(spark, str(tmp_path)).collect()} == {"a.json": (True, None), "b.json": (False, "UnterminatedArray")}
     with pytest.raises(Exception, match="Invalid JSON"):
         minified_files(spark, str(tmp_path), "eco", fail_on_error=True).collect()
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [('{"a":1} "bc', '{"a":1}'), ('"a b" 1', '"a b" 1'), ('{"a":"]}"} [1', '{"a":"]}"}'), ("}{}", ""), ("{} ]{}", "{}"), (" [1]  ", " [1]"), ('["a', ""), ("", ""), (None, None)],
+)
+def test_complete_prefix(spark, text, want):
+    assert values(spark, [text], J.complete_prefix(F.col("j"))) == [want]
+
+
+def test_skip_invalid(spark):
+    texts = [r'{"a": "x\qy"}', r'["\u12", "\u00e9", "\\q", "\n"]', "[01, 2]", '@{"a": tru}', '{"a": 1} ', '["a\tb"]', '"cut', "", None]
+    assert values(spark, texts, J.skip_invalid(F.col("j"))) == [
+        '{"a": "xy"}', r'["12", "\u00e9", "\\q", "\n"]', "[, 2]", '{"a": }', '{"a": 1}', '["ab"]', "", "", None,
+    ]
+
+
+def test_skip_policy(spark):
+    rows = spark.createDataFrame([(1, r'["\q1"]'), (2, "[01]"), (3, "[1,]"), (4, None)], "id int, j string")
+    got = {r["id"]: (r["j"], r["error"] and r["error"]["error"]) for r in apply_policy(rows, "j", "skip").collect()}
+    assert got == {1: ('["1"]', None), 2: ("[]", None), 3: ("[1,]", "TrailingComma"), 4: (None, None)}
+
+
+def test_length_profile(spark):
+    texts = ['{"ab": "xyz", "c\\"" : ["", ": "], "": 1}', "[1]", "", None]
+    got = values(spark, texts, J.length_profile(F.col("j")))
+    assert [g and tuple(g) for g in got] == [(3, 5 / 3, 3, 5 / 3), (0, None, 0, None), (0, None, 0, None), None]
+
+
+def test_size_limit(spark):
+    assert values(spark, ["[ 1 ]", "[ 12 ]", None], J.minify(F.col("j"), max_bytes=5)) == ["[1]", None, None]
+
+
+def test_escape_value(spark):
+    assert values(spark, ["n", '"', "\\", "q", None], J.escape_value(F.col("j"))) == ["\n", '"', "\\", None, None]
+
+
+def test_recursive_schema(spark):
+    node = {"type": "object", "properties": {"next": {"anyOf": [{"type": "null"}, {"$ref": "#"}]}, "v": {"maximum": 9}}}
+    chain = lambda n, v: '{"next":' * n + f'{{"v":{v}}}' + "}" * n
+    texts = [chain(0, 1), chain(3, 9), chain(3, 10), chain(8, 1), chain(9, 1), '{"next":{"next":null}}', '{"next":{"next":3}}', None]
+    assert values(spark, texts, conforms(F.col("j"), node)) == [True, True, False, True, False, True, False, None]
+    direct = {"properties": {"next": {"$ref": "#"}, "v": {"maximum": 9}}}
+    got = values(spark, [chain(1, 10), chain(3, 1)], schema_errors(F.col("j"), direct, ref_depth=2))
+    assert [[(e.keyword, e.instance_path) for e in g] for g in got] == [[("maximum", "/next/v")], [("$ref", "/next/next/next")]]
+
+
+def test_schema_error_details(spark):
+    schema = {"required": ["a"], "properties": {"b": {"enum": ["x", 1]}, "c": {"type": "integer"}, "d": {"maxItems": 1}}}
+    got = values(spark, ['{"b":"\u00fc","c":1.5,"d":[1,2]}', "{"], schema_errors(F.col("j"), schema))
+    assert [[(e.schema_path, e.expected, e.actual) for e in g] for g in got] == [
+        [("#/required", '"a"', "object"), ("#/properties/b/enum", '["x",1]', '"\u00fc"'), ("#/properties/c/type", '"integer"', "1.5"), ("#/properties/d/maxItems", "1", "array")],
+        [("#", "null", None)],
+    ]
+    assert (property_schema(schema, "b"), required_properties(schema), is_property_required(schema, "b")) == ({"enum": ["x", 1]}, ["a"], False)
