@@ -13,11 +13,20 @@ STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 BLANK = r"[ \t\n\r]"
 #: String (any content), structural character, run of anything else, or the quote of a string without an end.
 LEXEME = rf'(?s){STRING}|[{{}}\[\]:,]|[^ \t\n\r"{{}}\[\]:,]++|"'
-GOOD_STRING = r'^"(?:[^"\\\x00-\x1F]|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*+"$'
-GOOD_SCALAR = r"^(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)$"
+GOOD_STRING = r'^"(?:[^"\\\x00-\x1F]|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*+"\z'
+GOOD_SCALAR = r"^(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)\z"
 MODES = ("eco", "sport", "turbo")
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once, so that a lambda may use it many times without evaluating it again.
+
+    As the end of a fold over nothing: an element of an array would have its type worked out anew, through all of
+    ``body``, each time it is taken.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
+
+
 def minify(c: Column, mode: str = "sport", strict: bool | None = None, max_depth: int | None = None, max_bytes: int | None = None) -> Column:
     """Remove white space outside strings, byte for byte.
 

@@ -2,6 +2,9 @@
 
 The fold carries the open containers as a string and one letter for what may come next: v value, V value or ``]``,
 k key or ``}``, K key, c colon, n comma or close, d end.  Null in, null out.  Empty and blank texts are invalid.
+
+``is_valid`` needs no error, so it replaces the innermost containers by a number until the text is one scalar: a few
+regular expressions for each level of nesting, and the fold only for texts of more than ``PASSES`` levels.
 """
 
 from __future__ import annotations
@@ -9,10 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexical import BLANK, GOOD_SCALAR, STRING, kinds, lexemes
+from .lexical import BLANK, GOOD_SCALAR, STRING, kinds, let, lexemes
 
 _GOOD = ("string", "number", "boolean", "null")
 _STRUCTURE = ("{", "}", "[", "]", ":", ",")
+#: Levels of nesting that ``is_valid`` takes away one by one.
+PASSES = 32
+#: A well-formed string, or the quote of any other.
+_QUOTED = r'(")[^"\\\x00-\x1F]*+(?:\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})[^"\\\x00-\x1F]*+)*+"|(")'
+#: A scalar of a text whose strings are single quotes, with the blanks around it, and containers of such scalars.
+_VALUE = rf'{BLANK}*+(?:"|-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?+[0-9]++)?+|true|false|null){BLANK}*+'
+_MEMBER = rf'{BLANK}*+"{BLANK}*+:{_VALUE}'
+_INNERMOST = rf"\[(?:{_VALUE}(?:,{_VALUE})*+|{BLANK}*+)\]|\{{(?:{_MEMBER}(?:,{_MEMBER})*+|{BLANK}*+)\}}"
 
 
 def _fold(ks: Column, max_depth: int) -> Column:
@@ -68,7 +79,22 @@ def _end_error(s: Column) -> Column:
 
 
 def is_valid(c: Column, max_depth: int = 1000) -> Column:
-    return F.when(c.isNotNull(), F.transform(F.array(_fold(kinds(c), max_depth)), _end_error)[0].isNull())
+    # A well-formed string becomes one quote and a broken one begins with two, which no container of ``_INNERMOST`` can hold.
+    bare = F.regexp_replace(c, _QUOTED, "$1$2$2")
+    levels = F.least(F.lit(min(max_depth, PASSES)), F.length(c) - F.length(F.translate(c, "{[", "")))
+    opened = lambda s: s.rlike(r"[{\[]")
+
+    def without_innermost(s: Column, _: Column) -> Column:
+        """Null where something is open and nothing can be taken away any more."""
+        return F.when(~opened(s), s).when(s.rlike(_INNERMOST), F.regexp_replace(s, _INNERMOST, " 0 "))
+
+    def ended(s: Column) -> Column:
+        deeper = F.lit(False) if max_depth <= PASSES else let(_fold(kinds(c), max_depth), _end_error).isNull()
+        return F.when(s.isNull(), False).when(opened(s), deeper).otherwise(s.rlike(rf"^{_VALUE}\z"))
+
+    # Places from the second on: no step for a text without containers.
+    steps = F.slice(F.sequence(F.lit(0), levels), F.lit(2), F.lit(PASSES))
+    return F.when(c.isNotNull(), F.aggregate(steps, bare, without_innermost, ended))
 
 
 def validate(c: Column, max_depth: int = 1000) -> Column:
@@ -90,9 +116,9 @@ def validate(c: Column, max_depth: int = 1000) -> Column:
                 (F.length(F.regexp_replace(head, r"(?s)^.*\n", "")) + 1).alias("column"),
             )
 
-        return F.transform(F.array(offset), placed)[0]
+        return let(offset, placed)
 
-    return F.when(c.isNotNull(), F.transform(F.array(_fold(kinds(c), max_depth)), of)[0])
+    return F.when(c.isNotNull(), let(_fold(kinds(c), max_depth), of))
 
 
 def balanced(c: Column) -> Column:

@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lexical import let  # noqa: F401
 from ..scratch import scratch_path
 
 #: Word separators of the contracts: space and U+0009..U+000D.
@@ -33,15 +34,6 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once, so that a lambda may use it many times without evaluating it again.
-
-    As the end of a fold over nothing: an element of an array would have its type worked out anew, through all of
-    ``body``, each time it is taken.
-    """
-    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.
 
