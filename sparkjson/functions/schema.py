@@ -7,6 +7,8 @@ value as JSON, ``actual`` a scalar's JSON or a container's kind.
 A schema that refers to itself is unrolled ``ref_depth`` times, since an expression has no recursion; a value nested deeper has the error
 ``$ref`` (inside ``anyOf``, ``not`` and the like it counts as one that does not match).  The expression grows with that depth as a power of the
 number of places that refer back.
+What a part of the schema needs of a value (``_FACTS``) is worked out once for each value and bound, and so is each member that has a schema;
+``conforms_each`` parses once for any number of schemas.
 Parsing needs unique keys unless ``spark.sql.variant.allowDuplicateKeys`` is set; a text that cannot be parsed has
 the one error "Invalid JSON".
 """
@@ -22,6 +24,7 @@ from typing import Any, NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lexical import let
 from .scalars import quote_json, type_name
 from .validity import is_valid
 
@@ -57,8 +60,28 @@ def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def _path(name: str) -> str:
-    return "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
+#: What is known of a value: the type by name, and null for other types the text, number, items and members.
+_FACTS: dict[str, Callable[[Column], Column]] = {
+    "kind": F.schema_of_variant,
+    "text": lambda v: F.try_variant_get(v, "$", "string"),
+    "number": lambda v: F.try_variant_get(v, "$", "double"),
+    "items": lambda v: F.try_variant_get(v, "$", "array<variant>"),
+    "members": lambda v: F.try_variant_get(v, "$", "map<string,variant>"),
+}
+_TEXT, _NUMBER, _ITEMS, _MEMBERS = ("kind", "text"), ("kind", "number"), ("items",), ("members",)
+#: The facts that types and keywords need; all other types need the kind.
+_TYPE_NEEDS = {"any": (), "integer": _NUMBER, "array": _ITEMS, "object": _MEMBERS}
+_NEEDS = (
+    dict.fromkeys(("minLength", "maxLength", "pattern", "format"), _TEXT)
+    | dict.fromkeys(("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "enum", "const"), _NUMBER)
+    | dict.fromkeys(("minItems", "maxItems", "uniqueItems", "prefixItems", "items"), _ITEMS)
+    | dict.fromkeys(("minProperties", "maxProperties", "propertyNames", "required", "properties", "patternProperties", "additionalProperties"), _MEMBERS)
+)
+
+
+def _type_names(schema: dict) -> list[str]:
+    names = schema.get("type", [])
+    return names if isinstance(names, list) else [names]
 
 
 class _Check(NamedTuple):
@@ -95,132 +118,140 @@ class _Compiler:
             node = node[part.replace("~1", "/").replace("~0", "~")]
         return node
 
-    def type_is(self, v: Column, name: str) -> Column:
-        s = F.schema_of_variant(v)
+    def type_is(self, f: Column, name: str) -> Column:
+        if name in ("array", "object"):
+            return f["items" if name == "array" else "members"].isNotNull()
+        if name == "any":
+            return F.lit(True)
+        s = f["kind"]
         number = ~s.isin("VOID", "BOOLEAN", "STRING") & ~F.startswith(s, F.lit("ARRAY")) & ~F.startswith(s, F.lit("OBJECT"))
         if name == "integer":
-            d = F.try_variant_get(v, "$", "double")
-            return number & (F.floor(d) == d)
-        tests = {
-            "null": s == "VOID", "boolean": s == "BOOLEAN", "string": s == "STRING", "number": number,
-            "array": F.startswith(s, F.lit("ARRAY")), "object": F.startswith(s, F.lit("OBJECT")), "any": F.lit(True),
-        }
-        return tests[name]
+            return number & (F.floor(f["number"]) == f["number"])
+        return number if name == "number" else s == {"null": "VOID", "boolean": "BOOLEAN", "string": "STRING"}[name]
 
-    def checks(self, v: Column, schema: dict | bool, path: str, where: str = "#") -> list[_Check]:
-        """What applies when ``v``, at ``path``, is present; ``where`` leads to ``schema``."""
+    def with_facts(self, v: Column, schemas: list[dict | bool], body: Callable[[Column, Column | None], Column]) -> Column:
+        """``body`` of ``v`` and a struct of what ``schemas`` need of it.
+
+        The struct holds ``v`` too: Spark does not find a Python function whose argument has a lambda that uses another lambda's variable.
+        """
+        plain = [s for s in schemas if isinstance(s, dict)]
+        needs = {n for s in plain for t in _type_names(s) for n in _TYPE_NEEDS.get(t, ("kind",))} | {n for s in plain for k in s for n in _NEEDS.get(k, ())}
+        known = F.struct(v.alias("value"), *(of(v).alias(name) for name, of in _FACTS.items() if name in needs))
+        return let(known, lambda f: body(f["value"], f)) if needs else body(v, None)
+
+    def walk(self, v: Column, schema: dict | bool, path: str = "", where: str = "#", report: bool = False, facts: Column | None = None) -> Column:
+        """Whether ``v``, which is there, passes; or, to ``report``, an array with an error or null for each check.  ``where`` leads to ``schema``."""
         if schema is True or schema == {}:
-            return []
+            return self.all_of([], report)
         if schema is False:
-            return [_Check(F.lit(False), "No value is allowed", path or "/", "false", where, False, v)]
+            return self.all_of([_Check(F.lit(False), "No value is allowed", path or "/", "false", where, False, v)], report)
         if "$ref" in schema:
             target = self.resolve(schema["$ref"])
             if self.open[id(target)] >= self.ref_depth:
-                return [_Check(F.lit(False), MESSAGES["$ref"], path or "/", "$ref", f"{where}/$ref", schema["$ref"], v)]
+                return self.all_of([_Check(F.lit(False), MESSAGES["$ref"], path or "/", "$ref", f"{where}/$ref", schema["$ref"], v)], report)
             self.open[id(target)] += 1
             try:
-                return self.checks(v, target, path, schema["$ref"])
+                return self.walk(v, target, path, schema["$ref"], report)
             finally:
                 self.open[id(target)] -= 1
-        out: list[_Check] = []
+        of = lambda value, f: self.all_of(self.checks(value, f, schema, path, where, report), report)
+        return self.with_facts(v, [schema], of) if facts is None else of(v, facts)
+
+    def all_of(self, parts: list[_Check | Column], report: bool) -> Column:
+        """Checks, and what ``walk`` gave for the parts of a value, as one."""
+        if not report:
+            return _all([F.coalesce(x.ok, F.lit(False)) if isinstance(x, _Check) else x for x in parts])
+        failed = [F.array(F.when(~F.coalesce(x.ok, F.lit(False)), x.error())) if isinstance(x, _Check) else x for x in parts]
+        return F.concat(*failed) if failed else F.array().cast(ERROR)
+
+    def checks(self, v: Column, f: Column | None, schema: dict, path: str, where: str, report: bool) -> list[_Check | Column]:
+        """The checks of ``v``, of which the facts ``f`` are known, and the outcomes of its members."""
+        out: list[_Check | Column] = []
 
         def add(keyword: str, ok: Column, message: str | None = None) -> None:
             named = "type" if keyword == "integer" else keyword
             out.append(_Check(ok, message or MESSAGES.get(keyword, f"{keyword} failed"), path or "/", keyword, f"{where}/{named}", schema.get(named), v))
 
+        def by_keyword(kind: str, tests: dict[str, Callable]) -> None:
+            for keyword, ok in tests.items():
+                if keyword in schema:
+                    add(keyword, ~self.type_is(f, kind) | ok(schema[keyword]))
+
         if "type" in schema:
-            names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-            ok = reduce(lambda a, b: a | b, [self.type_is(v, n) for n in names])
+            names = _type_names(schema)
             if names == ["integer"]:
-                add("type", self.type_is(v, "number"))
-                add("integer", ~self.type_is(v, "number") | self.type_is(v, "integer"))
+                add("type", self.type_is(f, "number"))
+                add("integer", ~self.type_is(f, "number") | self.type_is(f, "integer"))
             else:
-                add("type", ok)
-        text, number = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
-        is_text, is_number = self.type_is(v, "string"), self.type_is(v, "number")
-        is_array, is_object = self.type_is(v, "array"), self.type_is(v, "object")
-        for keyword, ok in {
-            "minLength": lambda x: self.length(text) >= x,
-            "maxLength": lambda x: self.length(text) <= x,
-            "pattern": lambda x: text.rlike(x),
-        }.items():
-            if keyword in schema:
-                add(keyword, ~is_text | ok(schema[keyword]))
+                add("type", _any([self.type_is(f, n) for n in names]))
+        by_keyword("string", {
+            "minLength": lambda x: self.length(f["text"]) >= x,
+            "maxLength": lambda x: self.length(f["text"]) <= x,
+            "pattern": lambda x: f["text"].rlike(x),
+        })
         if self.formats and schema.get("format") in FORMATS:
-            add("format", ~is_text | FORMATS[schema["format"]](text))
-        for keyword, ok in {
-            "minimum": lambda x: number >= x,
-            "maximum": lambda x: number <= x,
-            "exclusiveMinimum": lambda x: number > x,
-            "exclusiveMaximum": lambda x: number < x,
-            "multipleOf": lambda x: F.pmod(number, F.lit(float(x))) == 0,
-        }.items():
-            if keyword in schema:
-                add(keyword, ~is_number | ok(schema[keyword]))
+            add("format", ~self.type_is(f, "string") | FORMATS[schema["format"]](f["text"]))
+        by_keyword("number", {
+            "minimum": lambda x: f["number"] >= x,
+            "maximum": lambda x: f["number"] <= x,
+            "exclusiveMinimum": lambda x: f["number"] > x,
+            "exclusiveMaximum": lambda x: f["number"] < x,
+            "multipleOf": lambda x: F.pmod(f["number"], F.lit(float(x))) == 0,
+        })
         for keyword, values in (("enum", schema.get("enum")), ("const", [schema["const"]] if "const" in schema else None)):
             if values is not None:
                 plain = [x for x in values if isinstance(x, bool) or not isinstance(x, (int, float))]
                 numbers = [float(x) for x in values if not isinstance(x, bool) and isinstance(x, (int, float))]
-                tests = [is_number & number.isin(*numbers)] if numbers else []
+                tests = [self.type_is(f, "number") & f["number"].isin(*numbers)] if numbers else []
                 if plain:
                     tests.append(F.to_json(v).isin(*[json.dumps(x, separators=(",", ":"), ensure_ascii=False, sort_keys=True) for x in plain]))
                 add(keyword, _any(tests))
-        items = F.try_variant_get(v, "$", "array<variant>")
-        n = F.size(items)
-        for keyword, ok in {"minItems": lambda x: n >= x, "maxItems": lambda x: n <= x}.items():
-            if keyword in schema:
-                add(keyword, ~is_array | ok(schema[keyword]))
+        by_keyword("array", {"minItems": lambda x: F.size(f["items"]) >= x, "maxItems": lambda x: F.size(f["items"]) <= x})
         if schema.get("uniqueItems"):
-            texts = F.transform(items, lambda x: F.to_json(x))
-            add("uniqueItems", ~is_array | (F.size(F.array_distinct(texts)) == n))
+            texts = F.transform(f["items"], lambda x: F.to_json(x))
+            add("uniqueItems", ~self.type_is(f, "array") | (F.size(F.array_distinct(texts)) == F.size(f["items"])))
         fixed = schema.get("prefixItems", [])
         for k, sub in enumerate(fixed):
-            add("prefixItems", ~is_array | (n <= k) | self.passes(F.get(items, F.lit(k)), sub))
+            add("prefixItems", ~self.type_is(f, "array") | (F.size(f["items"]) <= k) | let(F.get(f["items"], F.lit(k)), lambda x: self.walk(x, sub)))  # noqa: B023
         if "items" in schema:
-            rest = F.slice(items, F.lit(len(fixed) + 1), F.greatest(n, F.lit(0))) if fixed else items
-            add("items", ~is_array | F.forall(rest, lambda x: self.passes(x, schema["items"])))
-        keys = F.json_object_keys(F.to_json(v))
-        for keyword, ok in {
-            "minProperties": lambda x: F.size(keys) >= x,
-            "maxProperties": lambda x: F.size(keys) <= x,
-            "propertyNames": lambda x: F.forall(keys, lambda k: self.passes(F.try_parse_json(quote_json(k)), x)),
-        }.items():
-            if keyword in schema:
-                add(keyword, ~is_object | ok(schema[keyword]))
+            rest = F.slice(f["items"], F.lit(len(fixed) + 1), F.greatest(F.size(f["items"]), F.lit(0))) if fixed else f["items"]
+            add("items", ~self.type_is(f, "array") | F.forall(rest, lambda x: self.walk(x, schema["items"])))
+        by_keyword("object", {
+            "minProperties": lambda x: F.size(f["members"]) >= x,
+            "maxProperties": lambda x: F.size(f["members"]) <= x,
+            "propertyNames": lambda x: F.forall(F.map_keys(f["members"]), lambda k: let(F.try_parse_json(quote_json(k)), lambda name: self.walk(name, x))),
+        })
         for name in schema.get("required", []):
-            out.append(_Check(~is_object | F.array_contains(keys, name), f"Missing required property {name}", f"{path}/{name}", "required", f"{where}/required", name, v))
+            ok = ~self.type_is(f, "object") | f["members"][name].isNotNull()
+            out.append(_Check(ok, f"Missing required property {name}", f"{path}/{name}", "required", f"{where}/required", name, v))
         properties = schema.get("properties", {})
         for name, sub in properties.items():
-            child = F.try_variant_get(v, _path(name), "variant")
-            absent = ~is_object | ~F.coalesce(F.array_contains(keys, name), F.lit(False))
-            out += [check._replace(ok=absent | check.ok) for check in self.checks(child, sub, f"{path}/{name}", f"{where}/properties/{name}")]
+            if sub is not True and sub != {}:
+                own = lambda x: F.when(x.isNull(), self.all_of([], report)).otherwise(self.walk(x, sub, f"{path}/{name}", f"{where}/properties/{name}", report))  # noqa: B023, E731
+                out.append(let(f["members"][name], own))
         patterns = list(schema.get("patternProperties", {}).items())
-        members = F.try_variant_get(v, "$", "map<string,variant>")
         for pattern, sub in patterns:
-            add("patternProperties", ~is_object | self.members_match(members, pattern, sub))
+            add("patternProperties", ~self.type_is(f, "object") | self.members_match(f["members"], pattern, sub))
         if "additionalProperties" in schema and schema["additionalProperties"] is not True:
             known = lambda k: _any([k.isin(*properties)] * bool(properties) + [k.rlike(p) for p, _ in patterns])
             sub = schema["additionalProperties"]
-            ok = F.forall(keys, known) if sub is False else F.forall(F.map_entries(members), lambda e: known(e["key"]) | self.passes(e["value"], sub))
-            add("additionalProperties", ~is_object | ok)
+            ok = F.forall(F.map_keys(f["members"]), known) if sub is False else F.forall(F.map_entries(f["members"]), lambda e: known(e["key"]) | self.walk(e["value"], sub))
+            add("additionalProperties", ~self.type_is(f, "object") | ok)
         if "allOf" in schema:
-            add("allOf", _all([self.passes(v, s) for s in schema["allOf"]]))
+            add("allOf", _all([self.walk(v, s) for s in schema["allOf"]]))
         if "anyOf" in schema:
-            add("anyOf", _any([self.passes(v, s) for s in schema["anyOf"]]))
+            add("anyOf", _any([self.walk(v, s) for s in schema["anyOf"]]))
         if "oneOf" in schema:
-            add("oneOf", reduce(lambda a, b: a + b, [self.passes(v, s).cast("int") for s in schema["oneOf"]]) == 1)
+            add("oneOf", reduce(lambda a, b: a + b, [self.walk(v, s).cast("int") for s in schema["oneOf"]]) == 1)
         if "not" in schema:
-            add("not", ~self.passes(v, schema["not"]))
+            add("not", ~self.walk(v, schema["not"]))
         if "if" in schema:
-            test = self.passes(v, schema["if"])
-            add("if", F.when(test, self.passes(v, schema.get("then", True))).otherwise(self.passes(v, schema.get("else", True))))
+            test = self.walk(v, schema["if"])
+            add("if", F.when(test, self.walk(v, schema.get("then", True))).otherwise(self.walk(v, schema.get("else", True))))
         return out
 
     def members_match(self, members: Column, pattern: str, schema: dict | bool) -> Column:
-        return F.forall(F.map_entries(members), lambda e: ~e["key"].rlike(pattern) | self.passes(e["value"], schema))
-
-    def passes(self, v: Column, schema: dict | bool) -> Column:
-        return _all([F.coalesce(ok, F.lit(False)) for ok, *_ in self.checks(v, schema, "")])
+        return F.forall(F.map_entries(members), lambda e: ~e["key"].rlike(pattern) | self.walk(e["value"], schema))
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -237,19 +268,27 @@ def schema_errors(
     """Errors of each text, in the schema's order, ``max_errors`` (or, with ``fail_fast``, one) at most; null for null."""
 
     def of(v: Column) -> Column:
-        checks = _Compiler(schema, length_unit, validate_formats, ref_depth).checks(v, schema, "")
-        found = [F.when(~F.coalesce(check.ok, F.lit(False)), check.error()) for check in checks]
-        kept = F.filter(F.array(*found), lambda e: e.isNotNull()) if found else F.array().cast(ERROR)
-        kept = F.slice(kept, F.lit(1), F.lit(1 if fail_fast else max_errors))
+        found = F.filter(_Compiler(schema, length_unit, validate_formats, ref_depth).walk(v, schema, report=True), lambda e: e.isNotNull())
+        kept = F.slice(found, F.lit(1), F.lit(1 if fail_fast else max_errors))
         return F.when(v.isNull(), F.array(_Check(F.lit(False), "Invalid JSON", "/", "parse", "#", None, v).error())).otherwise(kept)
 
-    return F.when(c.isNotNull(), F.transform(F.array(_parsed(c)), of)[0])
+    return F.when(c.isNotNull(), let(_parsed(c), of))
 
 
 def conforms(c: Column, schema: dict, *, length_unit: str = "chars", validate_formats: bool = True, ref_depth: int = REF_DEPTH) -> Column:
     """Whether a text has no ``schema_errors``; checks stop at the first that fails, and no error is built.  Null for null."""
-    of = lambda v: v.isNotNull() & _Compiler(schema, length_unit, validate_formats, ref_depth).passes(v, schema)
-    return F.when(c.isNotNull(), F.transform(F.array(_parsed(c)), of)[0])
+    return conforms_each(c, {"ok": schema}, length_unit=length_unit, validate_formats=validate_formats, ref_depth=ref_depth)["ok"]
+
+
+def conforms_each(c: Column, schemas: dict[str, dict], *, length_unit: str = "chars", validate_formats: bool = True, ref_depth: int | dict[str, int] = REF_DEPTH) -> Column:
+    """struct: ``conforms`` by each named schema, from one parse; ``ref_depth`` may differ by name.  Null for null."""
+    depths = ref_depth if isinstance(ref_depth, dict) else dict.fromkeys(schemas, ref_depth)
+    each = {name: _Compiler(schema, length_unit, validate_formats, depths.get(name, REF_DEPTH)) for name, schema in schemas.items()}
+
+    def of(v: Column, f: Column | None) -> Column:
+        return F.struct(*((v.isNotNull() & one.walk(v, schemas[name], facts=f)).alias(name) for name, one in each.items()))
+
+    return F.when(c.isNotNull(), let(_parsed(c), lambda v: next(iter(each.values())).with_facts(v, [*schemas.values()], of)))
 
 
 # Lookups.

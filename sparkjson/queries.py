@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import functions as J
 from .functions.rewrite import filter_fields, map_lexemes, pretty, sort_keys
-from .functions.schema import conforms, object_schema, schema_errors
+from .functions.schema import conforms_each, object_schema, schema_errors
 from .operators.diagnostics import container_root, duplicate_keys, findings, lenient_valid
 from .operators.metrics import run_summary, structure_totals
 from .operators.policy import apply_policy, error_report, resilient_minify
@@ -21,6 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def _dealt(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    """A table dealt over all cores by its key: a file of few row groups would leave the work on its rows to few tasks."""
+    return _table(spark, sf_dir, name, key, *columns).repartition(2 * spark.sparkContext.defaultParallelism, key)
+
+
 def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A number and a name for each customer."""
     return _table(spark, sf_dir, "customer", "c_custkey", "c_name").toDF("n_nationkey", "n_name")
@@ -46,7 +51,7 @@ _NESTED = """concat('{{"user": {{"name": "', c_name, '", "seg": "', c_mktsegment
 
 
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment").select("c_custkey", F.expr(_NESTED).alias("j"))
+    return _dealt(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment").select("c_custkey", F.expr(_NESTED).alias("j"))
 
 
 def minify_events(spark, sf_dir):
@@ -155,13 +160,13 @@ _PART_JSON = """concat('{"key": ', p_partkey, ', "name": "', p_name, '", "size":
 
 
 def schema_check(spark, sf_dir):
-    rows = _table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size", "p_brand").select("p_partkey", F.expr(_PART_JSON).alias("j"))
+    rows = _dealt(spark, sf_dir, "part", "p_partkey", "p_name", "p_size", "p_brand").select("p_partkey", F.expr(_PART_JSON).alias("j"))
     checked = rows.select("p_partkey", schema_errors(F.col("j"), _PART).alias("e"))
     return checked.select("p_partkey", F.size("e").alias("n"), F.array_join(F.transform("e", lambda e: F.concat(e["keyword"], F.lit("@"), e["instance_path"])), " ").alias("errors"))
 
 
 def schema_pipeline(spark, sf_dir):
-    rows = _table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size", "p_brand").select("p_partkey", F.expr(_PART_JSON).alias("j"))
+    rows = _dealt(spark, sf_dir, "part", "p_partkey", "p_name", "p_size", "p_brand").select("p_partkey", F.expr(_PART_JSON).alias("j"))
     return Engine([validated(_PART), minified(priority=1)]).run(rows, "j").select("p_partkey", F.col("j").alias("out"))
 
 
@@ -192,8 +197,8 @@ _RULES: dict[str, tuple[dict, str]] = {
 
 def schema_rules(spark, sf_dir):
     text = """concat('{"k": ', p_partkey, ', "xs": [', p_size, ', ', p_size % 5, ', 3], "t": "', p_brand, '"', CASE WHEN p_partkey % 4 = 0 THEN ', "zzz": 1}' ELSE '}' END, CASE WHEN p_partkey % 11 = 0 THEN ' x' ELSE '' END)"""
-    rows = _table(spark, sf_dir, "part", "p_partkey", "p_size", "p_brand").select("p_partkey", F.expr(text).alias("j"))
-    return rows.select("p_partkey", *(conforms(F.col("j"), rule).alias(name) for name, (rule, _) in _RULES.items()))
+    rows = _dealt(spark, sf_dir, "part", "p_partkey", "p_size", "p_brand").select("p_partkey", F.expr(text).alias("j"))
+    return rows.select("p_partkey", conforms_each(F.col("j"), {name: rule for name, (rule, _) in _RULES.items()}).alias("r")).select("p_partkey", "r.*")
 
 
 _TREE = {"$defs": {"node": {"type": "object", "properties": {"v": {"type": "integer", "maximum": 30}, "sub": {"type": "array", "items": {"$ref": "#/$defs/node"}}}, "required": ["v"]}}, "$ref": "#/$defs/node"}
@@ -202,13 +207,13 @@ _TREE = {"$defs": {"node": {"type": "object", "properties": {"v": {"type": "inte
 def schema_recursive(spark, sf_dir):
     """Trees of three levels whose last leaf is wrong where the size is over 30, and lacks its value in each fifth one."""
     text = """concat('{"v": 1, "sub": [{"v": 2, "sub": []}, {"v": 3, "sub": [{', CASE WHEN p_partkey % 5 = 0 THEN '"w"' ELSE '"v"' END, ': ', p_size, '}]}]}')"""
-    rows = _table(spark, sf_dir, "part", "p_partkey", "p_size").select("p_partkey", F.expr(text).alias("j"))
-    return rows.select("p_partkey", conforms(F.col("j"), _TREE).alias("ok"), conforms(F.col("j"), _TREE, ref_depth=2).alias("ok_at_two"))
+    rows = _dealt(spark, sf_dir, "part", "p_partkey", "p_size").select("p_partkey", F.expr(text).alias("j"))
+    return rows.select("p_partkey", conforms_each(F.col("j"), {"ok": _TREE, "ok_at_two": _TREE}, ref_depth={"ok_at_two": 2}).alias("r")).select("p_partkey", "r.*")
 
 
 def schema_details(spark, sf_dir):
     """Each error with where it stands in text and schema, and what was wanted and found."""
-    rows = _table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size", "p_brand").select("p_partkey", F.expr(_PART_JSON).alias("j"))
+    rows = _dealt(spark, sf_dir, "part", "p_partkey", "p_name", "p_size", "p_brand").select("p_partkey", F.expr(_PART_JSON).alias("j"))
     schema = {"properties": {"size": {"maximum": 30}, "key": {"type": "string"}}, "required": ["brand"]}
     errors = rows.select("p_partkey", F.explode(schema_errors(F.col("j"), schema)).alias("e"))
     return errors.select("p_partkey", "e.keyword", "e.schema_path", "e.expected", "e.actual")

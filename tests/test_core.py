@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import sparkjson.functions as J
 from sparkjson.functions import repair_escapes
 from sparkjson.functions.rewrite import filter_fields, map_lexemes, pretty, sort_keys, split_array
-from sparkjson.functions.schema import conforms, is_property_required, number_schema, object_schema, optimization_hints, property_schema, required_properties, schema_errors, string_schema
+from sparkjson.functions.schema import conforms, conforms_each, is_property_required, number_schema, object_schema, optimization_hints, property_schema, required_properties, schema_errors, string_schema
 from sparkjson.operators.diagnostics import container_root, duplicate_keys, findings, lenient_valid
 from sparkjson.operators.metrics import observed, prometheus_text
 from sparkjson.operators.policy import apply_policy, error_report, quarantine
@@ -406,3 +406,33 @@ def test_schema_error_details(spark):
         [("#", "null", None)],
     ]
     assert (property_schema(schema, "b"), required_properties(schema), is_property_required(schema, "b")) == ({"enum": ["x", 1]}, ["a"], False)
+
+
+def test_validity_agrees_with_the_fold(spark):
+    deep = ["[" * n + "]" * m for n in (2, 31, 32, 33, 34) for m in (n - 1, n, n + 1)]
+    texts = [*deep, '["a""b"]', '["a\\t,\\n"]', '["\\\\q"]', '[",1]', "[1{}]", '[{}"a"]', "{{}:1}", "[1 2]", "[-{}]", '{"a":"}', "[1\u2028]", ' {"a\\\\"" : [ ] , "b":-1.5e+3}\n', "t", "", " "]
+    for depth in (2, 32, 33, 1000):
+        got = values(spark, texts, J.is_valid(F.col("j"), depth), J.validate(F.col("j"), depth)["valid"])
+        assert [t for t, (a, b) in zip(texts, got, strict=True) if a != b] == [] and sum(a for a, _ in got) == {2: 3, 32: 5, 33: 6, 1000: 7}[depth]
+    assert values(spark, ["[1\u2028]"], J.is_valid(F.col("j"))) == [False]
+
+
+def test_filters_deal_their_rows(spark):
+    from sparkjson.queries import filter_exclude, filter_include
+
+    for query in (filter_include, filter_exclude):  # the file has one row group
+        assert "hashpartitioning(c_custkey" in query(spark, SF)._jdf.queryExecution().toString()
+
+
+def test_schemas_share_one_parse(spark):
+    node = {"properties": {"a": {"$ref": "#"}, "b'": {"type": "integer"}}}
+    rows = spark.createDataFrame([('{"a": {"a": {}}}',), ('{"b\'": 1.5}',), ("[1",), (None,)], "j string")
+    got = rows.select(conforms_each(F.col("j"), {"one": node, "two": node, "any": {}}, ref_depth={"one": 1}).alias("r")).collect()
+    assert [r.r and tuple(r.r) for r in got] == [(False, True, True), (False, False, True), (False, False, False), None]
+
+
+def test_nested_lambdas_under_python_functions(spark):
+    schema = {"properties": {"a": {"anyOf": [{"minimum": 1}, {"not": {"type": "integer"}}]}}}
+    rows = spark.createDataFrame([('{"a": 1, "b": [ ]}',), ('{"a": 0}',)], "j string")
+    got = Engine([validated(schema), filtered(exclude=["a"])]).run(rows, "j").collect()
+    assert [r.j for r in got] == ['{"b":[]}', None]
