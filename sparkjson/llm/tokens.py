@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,7 +20,6 @@ import numpy as np
 PLAIN = re.compile(r"[\t\n\r -~¡-¬®-ÿ]*")
 #: A word and the punctuation behind it, which word vocabularies treat apart.
 WORD_TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-LOWER = re.compile("[a-zß-öø-ÿ]+")
 #: Bounds of the two caches and of what the library gets at once.
 CACHE_CHUNKS, CACHE_PIECES, AT_ONCE, TEXTS_AT_ONCE = 250_000, 300_000, 20_000, 256
 
@@ -47,7 +47,8 @@ class Encoder:
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         for at in range(0, len(texts), TEXTS_AT_ONCE):
             split = [t.split() if self.by_chunk and PLAIN.fullmatch(t) else None for t in texts[at : at + TEXTS_AT_ONCE]]
-            self._learn_chunks({c for s in split if s for c in s} - self.chunks.keys())
+            # Not ``- keys()``, which would go through the whole cache.
+            self._learn_chunks(set().union(*(s for s in split if s)).difference(self.chunks))
             for text, chunks in zip(texts[at : at + TEXTS_AT_ONCE], split, strict=True):
                 if chunks is None:
                     yield np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -60,21 +61,29 @@ class Encoder:
         return [t.id for t in self.library.model.tokenize(word.translate(self.letters))]
 
     def _learn_chunks(self, new: set[str]) -> None:
-        parts = {c: (m[1].lower(), m[2]) if self.by_piece and (m := WORD_TAIL.fullmatch(c)) else (c, "") for c in new}
         if len(self.pieces) > CACHE_PIECES:
             self.pieces = {}
-        pieces = self.pieces
-        want = {x for p in parts.values() for x in p if x} - pieces.keys()
-        words = {x for x in want if LOWER.fullmatch(x)} if self.by_model else set()
-        want = [*(want - words)]
+        pieces, chunks, matched = self.pieces, self.chunks, WORD_TAIL.fullmatch
+        later: list[tuple[str, str, str]] = []  # chunks with a piece that only the library's plain call can encode
+        for chunk in new:
+            if not (self.by_piece and (m := matched(chunk))):
+                later.append((chunk, chunk, ""))
+                continue
+            word, tail = m[1].lower(), m[2]
+            ids = pieces.get(word)
+            if ids is None and self.by_model:  # in lower case it has only the letters that __init__ tries
+                ids = pieces[word] = array("I", self._word(word)).tobytes()
+            if ids is None or tail and tail not in pieces:
+                later.append((chunk, word, tail))
+            else:
+                chunks[chunk] = ids + pieces[tail] if tail else ids
+        want = [*{x for _, *p in later for x in p if x and x not in pieces}]
         for at in range(0, len(want), AT_ONCE):
             some = want[at : at + AT_ONCE]
             for piece, got in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                pieces[piece] = np.array(got.ids, np.uint32).tobytes()
-        for piece in words:
-            pieces[piece] = np.array(self._word(piece), np.uint32).tobytes()
-        for chunk, (word, tail) in parts.items():
-            self.chunks[chunk] = pieces[word] + (pieces[tail] if tail else b"")
+                pieces[piece] = array("I", got.ids).tobytes()
+        for chunk, word, tail in later:
+            chunks[chunk] = pieces[word] + (pieces[tail] if tail else b"")
 
 
 @lru_cache(maxsize=4)

@@ -158,3 +158,21 @@ def test_bpe_against_tiktoken(spark, words):
         assert list(r.ids) == own.encode_ordinary(r.text or "") and bytes(r.back) == (r.text or "").encode()
     if words:
         assert bpe.encode(empty(spark), vocabulary, P.PATTERN).collect() == []
+
+
+def test_encoder_does_not_go_through_its_caches():
+    import public_tokenizers
+
+    from sparkjson.llm.tokens import Encoder
+
+    class Cache(dict):
+        def __iter__(self):
+            raise AssertionError("the whole cache is read for each batch")
+
+        keys = items = values = __iter__
+
+    encode = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    encode.chunks, encode.pieces = Cache(), Cache()
+    texts = ["The cat, ÀÉß x1 (a) a.b", "the CAT, Straße! 12", "", "日本 x"]
+    want = [encode.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encode(texts)] == want and [x.tolist() for x in encode(texts[::-1])] == want[::-1]
