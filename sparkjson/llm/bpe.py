@@ -1,8 +1,8 @@
 """Byte-level BPE with Spark's higher-order functions.
 
 A word is its bytes (one character of ISO-8859-1 for each) and an array of its pieces' starts and pair ranks;
-``fold_word`` folds ranked merges over it, looking pairs up in a literal rank map.  The map is dealt into buckets by hash, since Spark scans a map's keys in
-order.  Distinct words are counted over the whole corpus, and the commonest ``DICTIONARY_WORDS`` of them are folded
+``fold_word`` folds ranked merges over it, looking pairs up in a rank map.  The map is dealt into buckets by hash, since Spark scans a map's keys in
+order; it is a scalar subquery of one row, since the text of each plan, which the driver keeps, would hold a literal whole.  Distinct words are counted over the whole corpus, and the commonest ``DICTIONARY_WORDS`` of them are folded
 once; texts look their words up in that dictionary, a scalar subquery of bounded size, and fold only the others (all
 words of more than ``WORD_CHARS`` characters among them) in place.  So no text is shuffled, and what travels to the tasks does not grow with the corpus.
 
@@ -29,18 +29,16 @@ WORD_CHARS = 128
 #: Powers of two.
 RANK_BUCKETS, DICTIONARY_BUCKETS = 1 << 16, 1 << 17
 NO_RANK = 2**31 - 1
-#: White space of Unicode, which Java's ``\s`` is not.
-_SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
 def java_pattern(pattern: str) -> str:
-    """The split pattern with ``\\s`` and ``\\S`` spelt out for Java."""
-    out = pattern.replace(r"[^\s", f"[^{_SPACE}")
-    return out.replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
+    """The split pattern with ``\\s`` and ``\\S`` as white space of Unicode, which Java's own are not."""
+    out = pattern.replace(r"[^\s", r"[^\p{IsWhite_Space}")
+    return out.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
 
 
 class Vocabulary:
-    """Ranks of a .tiktoken file as literals."""
+    """Ranks of a .tiktoken file: the rank map as a scalar subquery, pieces by id as literals."""
 
     def __init__(self, spark: SparkSession, path: str):
         with open(path, "rb") as f:
@@ -54,12 +52,21 @@ class Vocabulary:
         pieces = [""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece.hex()
-        self.ranks = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+        row = spark.createDataFrame([(json.dumps(buckets),)], "ranks string")
+        self.ranks = materialize(row.select(F.from_json("ranks", "array<map<string,int>>").alias("ranks")), "ranks").scalar()
         self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
         self.little_endian = F.from_json(F.lit(json.dumps([k.to_bytes(4, "little").hex() for k in range(len(pieces))])), "array<string>")
 
+    def name(self, df: DataFrame) -> DataFrame:
+        """``df`` with the rank map as ``__ranks``, once for ``ids``.
+
+        Analysis wants subqueries outside of lambdas.  What is named once and used once, Catalyst puts back where it is
+        used, so no row carries a copy.
+        """
+        return df.withColumn("__ranks", self.ranks)
+
     def ids(self, words: Column, known=None) -> Column:
-        """array of array<int>: the ids of each of ``words``; ``known(word)`` may have them already.
+        """array of array<int>: the ids of each of ``words``, for rows of ``name``; ``known(word)`` may have them already.
 
         The rank map is bound once, however often the fold looks into it.
         """
@@ -68,7 +75,7 @@ class Vocabulary:
             fold = lambda w: fold_word(ranks, w)
             return F.transform(words, fold if known is None else lambda w: F.coalesce(known(w), fold(w)))
 
-        return let(self.ranks, of)
+        return let(F.col("__ranks"), of)
 
 
 def _bucket(value: Column, buckets: int) -> Column:
@@ -104,9 +111,8 @@ def fold_word(ranks: Column, word: Column) -> Column:
             return F.flatten(F.array(F.slice(s, F.lit(1), F.greatest(at - 2, F.lit(0))), left, F.array(right), F.slice(s, at + 2, F.size(s))))
 
         def step(s: Column, _: Column) -> Column:
-            # The leftmost pair of least rank; array_position would leave its loop by a costly exception.
-            least = F.array_min(F.transform(s, lambda x, i: x.bitwiseAND(F.lit(~0xFFFFFFFF)) + i))
-            return let(least, lambda m: F.when(m >= last, s).otherwise(let(low(m) + 1, lambda at: merge(s, at))))
+            # The leftmost pair of least rank: of equal ranks the least start.  Most words are done long before the last step.
+            return let(F.array_min(s), lambda m: F.when(m >= last, s).otherwise(let(F.array_position(s, m).cast("int"), lambda at: merge(s, at))))
 
         # One number for each piece: where it starts, and the rank of what it makes with the next; the end closes the array.
         last = F.lit(NO_RANK << 32)
@@ -138,7 +144,7 @@ def dictionary(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str
             break
         least, held = n, held + sizes[n]
     chosen = counts.where(F.col("n") >= least).repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
-    folded = chosen.select("word", "n", vocabulary.ids(F.array("word"))[0].alias("ids"), _bucket(F.col("word"), DICTIONARY_BUCKETS).alias("b"))
+    folded = vocabulary.name(chosen).select("word", "n", vocabulary.ids(F.array("word"))[0].alias("ids"), _bucket(F.col("word"), DICTIONARY_BUCKETS).alias("b"))
     folded = materialize(folded, "dictionary")
     # Spark scans a map's keys in order, so the commonest words come first.
     common = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word", "ids")))
@@ -157,10 +163,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "t
     def look_up(word: Column) -> Column:
         return F.get(F.col("__known"), _bucket(word, DICTIONARY_BUCKETS))[word]
 
-    # Analysis wants subqueries outside of lambdas.  It is named once, so Catalyst puts it back where it is used and
-    # no row carries a copy of the dictionary.
-    named = docs.withColumn("__known", known)
-    return named.withColumn("ids", F.flatten(vocabulary.ids(split_words(F.col(text), pattern), look_up))).drop("__known")
+    named = vocabulary.name(docs.withColumn("__known", known))  # as ``name`` says, no row carries the dictionary
+    return named.withColumn("ids", F.flatten(vocabulary.ids(split_words(F.col(text), pattern), look_up))).drop("__known", "__ranks")
 
 
 def decode(vocabulary: Vocabulary, ids: Column) -> Column:

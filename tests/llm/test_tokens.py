@@ -160,6 +160,12 @@ def test_bpe_against_tiktoken(spark, words):
         assert bpe.encode(empty(spark), vocabulary, P.PATTERN).collect() == []
 
 
+def test_bpe_plan_does_not_hold_the_ranks(spark):
+    vocabulary = bpe.Vocabulary(spark, P.path("byte_bpe_multi_50k.tiktoken"))
+    out = bpe.encode(frame(spark), vocabulary, P.PATTERN, words=1000).select("ids")
+    assert len(out._jdf.queryExecution().executedPlan().toString()) < 100_000
+
+
 def test_encoder_does_not_go_through_its_caches():
     import public_tokenizers
 
