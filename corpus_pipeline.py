@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: language, exact copies, near copies, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; ``run`` writes what a stage returns
-as Parquet to the shared folder and hands what it reads back to the next.
+as Parquet to the shared folder and hands what it reads back to the next.  Stages are planned when their result is written, so the
+language stage leaves the session with Arrow batches of at most ``BATCH_ROWS`` rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from sparkjson.llm.pii import key_from, pseudonymize, store_key
 #: Near copies: shingles of five words, Jaccard of 0.8 or more.
 NGRAM, SIMILAR = 5, (80, 100)
 PSEUDONYM_KEY = "demo-key"
+#: Rows of an Arrow batch; with Spark's default a whole input split is one batch, held by the JVM and by its Python worker.
+BATCH_ROWS = 512
 
 
 def _only(docs: DataFrame, kept: DataFrame, digest: Column) -> DataFrame:
@@ -28,8 +31,15 @@ def _only(docs: DataFrame, kept: DataFrame, digest: Column) -> DataFrame:
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_semi")
 
 
+def _small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    spark.conf.set(name, min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language can be found go; a missing label is filled in."""
+    _small_batches(spark)
     known = add_language(docs, fit(docs), into=("__lang", "__score")).where("__lang <> 'und'")
     return known.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline as pipeline
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from cases import ascii_lower, empty, frame, rows
 from test_joins import brute_components, shared_ids
 from tokenizers import Tokenizer
@@ -56,6 +57,21 @@ def test_near_tells_texts_of_one_id_apart(spark):
     assert sorted((r.doc_id, r.text[:3]) for r in pipeline.near(spark, docs, "").collect()) == [(1, "w1x"), (5, "w2x")]
 
 
+def test_the_language_stage_gets_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 10_000)
+        pipeline.language(spark, frame(spark), "")
+        sizes = spark.range(0, 3000, numPartitions=1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"id": [x.num_rows]}) for x in batches), "id long")
+        assert max(r.id for r in sizes.collect()) == pipeline.BATCH_ROWS
+        spark.conf.set(name, 100)
+        pipeline.language(spark, frame(spark), "")
+        assert spark.conf.get(name) == "100"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_registry():
     names = list(queries())
     assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] == names[:-1] and names[-1] == "pipeline" and len(names) == 11
